@@ -1,6 +1,20 @@
 """Queries of this subpackage and their SQL."""
 
+import corpus_pipeline
+from velspar.llm.decontaminate import op5_benchmark_decontamination
+from velspar.llm.fingerprint import op2_document_fingerprints
+from velspar.llm.lang_id import op8_language_id
+from velspar.llm.line_dedup import line_dedup_sql, op1_line_dedup
 from velspar.llm.near_dup import op3_minhash_near_dedup
+from velspar.llm.packing import op9_best_fit_packing
 
-QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op8_language_id": op8_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLE = {"op1_line_dedup": line_dedup_sql()}

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from velspar.session import materialise
 
 
+EDGES_A_FILE = 250_000
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for the ends of edges (a, b): component is the smallest node reachable.
 
@@ -16,23 +19,28 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     lineage. A round at least halves the components that still have edges. Empty edges give an empty table.
     """
     edges = materialise(spark, edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = materialise(spark, edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "labels")
+    files = 1 + edges.count() // EDGES_A_FILE  # every later table has at most twice as many rows
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        return materialise(spark, df.coalesce(files), name)
+
+    labels = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "labels")
     live = edges
     while not live.isEmpty():
         # Hook: every component to its smallest neighbour if that is smaller. Hooks point to smaller nodes, so they have no cycles.
         hooks = live.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("up")).groupBy("node").agg(F.min("up").alias("up"))
-        hooks = materialise(spark, hooks, "hooks")
+        hooks = written(hooks, "hooks")
         while True:  # pointer jumping to the roots
             up = hooks.select(F.col("node").alias("up"), F.col("up").alias("next"))
             jumped = hooks.join(up, "up", "left").select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved"))
-            jumped = materialise(spark, jumped, "hooks")
+            jumped = written(jumped, "hooks")
             moved = not jumped.where("moved").isEmpty()
             hooks = jumped.drop("moved")
             if not moved:
                 break
         root = hooks.select(F.col("node").alias("component"), F.col("up"))
-        labels = materialise(spark, labels.join(root, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        labels = written(labels.join(root, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         for end in ("a", "b"):
             live = live.join(hooks.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        live = materialise(spark, live.where("a <> b").distinct(), "edges")
+        live = written(live.where("a <> b").distinct(), "edges")
     return labels

@@ -79,13 +79,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 2.0, seed: int = 7) -> Model:
     """SGD over sparse counts; every fifth row calibrates."""
+    sample = [r for r in sample if len(r[1])]
+    if not sample:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     languages = sorted({lang for lang, _, _ in sample})
     index = {lang: k for k, lang in enumerate(languages)}
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weights, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     weights += rng.normal(0, 0.1, weights.shape).astype(np.float32)
-    rows = [(index[lang], np.asarray(at), np.asarray(w, np.float32) / np.float32(sum(w))) for lang, at, w in sample if len(at)]
+    rows = [(index[lang], np.asarray(at), np.asarray(w, np.float32) / np.float32(sum(w))) for lang, at, w in sample]
     train = [r for k, r in enumerate(rows) if k % 5] or rows
     steps, step = epochs * len(train), 0
     for _ in range(epochs):
@@ -102,10 +105,10 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
             embedding[at] -= (now * np.float32(len(at)) ** np.float32(0.5)) * w[:, None] * back
     table = (embedding @ weights).astype(np.float32)
     held = [r for k, r in enumerate(rows) if not k % 5] or rows
-    logits = np.array([w @ table[at] + bias for _, at, w in held]).reshape(-1, len(languages))
+    logits = np.array([w @ table[at] + bias for _, at, w in held]).reshape(len(held), len(languages))
     truth = np.array([y for y, _, _ in held], int)
     loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
-    temperature = min(np.geomspace(0.05, 5, 60), key=loss) if len(truth) else 1.0
+    temperature = min(np.geomspace(0.05, 5, 60), key=loss)
     p = softmax(logits / temperature)
     right = p[np.arange(len(truth)), truth][p.argmax(axis=1) == truth]
     threshold = min(MOST_REJECTING, float(np.quantile(right, 0.001))) if len(right) else 0.0

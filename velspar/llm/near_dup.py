@@ -3,8 +3,9 @@
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a document's set holds its distinct 5-word shingles (64-bit hashes).
 Documents of equal sets form a class at once. Representatives of classes meet in banded buckets; in a bucket every member is a
 candidate with one hub, not with every other. A candidate becomes a link only if 100 * intersection >= 75 * union on the full sets.
-What a star can miss is settled in rounds: buckets whose members lie in several components get further hubs, taken
-from all but the bucket's largest component, until each bucket is in one component or all its cross pairs are checked.
+What a star can miss is then settled exactly: where the members of a hub's buckets lie in several components, they are dealt to tiles of
+two chunks of TILE members, and in a tile the members outside its largest component count their common shingles with all others through an
+inverted index. A tile gives out links between components alone, at most one for a member and a component.
 
 Defined results: null text, empty text and text without words have an empty set, are linked with nothing and kept. Rows repeated under one
 doc_id count once; of different texts under one doc_id the smallest counts. Rows with a null doc_id have no
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velspar.llm.graph import components
@@ -27,10 +28,8 @@ from velspar.session import materialise, shuffle_partitions
 BANDS, ROWS = 32, 4
 #: Ids and pairs are broadcast up to this many rows (16 bytes each); beyond it the same joins shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Members of a hub that one task verifies.
-CHUNK = 512
-#: Buckets up to this size are settled by all their pairs (a constant number); larger ones get up to HUBS new hubs a round.
-SMALL, HUBS = 16, 32
+#: Members of a hub that one task verifies, and members of a torn star in one chunk of a tile.
+CHUNK, TILE = 512, 1024
 
 
 def probes(bins: int) -> np.ndarray:
@@ -128,6 +127,69 @@ def links(spark: SparkSession, texts: DataFrame, pairs: DataFrame, percent: int)
     return materialise(spark, dealt.mapInArrow(lambda x: verify(x, percent), "a bigint, b bigint"), "links")
 
 
+def settle(members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between members (id, component, set) of different components."""
+    labels = np.array([c for _, c, _ in members])
+    names, which, size = np.unique(labels, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    sizes = np.array([len(s) for _, _, s in members])
+    owner = np.repeat(np.arange(len(members)), sizes)
+    _, term = np.unique(np.concatenate([s for _, _, s in members]), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    posting, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(term))))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    largest, out = int(size.argmax()), []
+    for x in np.flatnonzero(which != largest).tolist():
+        terms = term[at[x] : at[x + 1]]
+        n = first[terms + 1] - first[terms]
+        place = np.repeat(first[terms] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(posting[place], minlength=len(members))
+        near = np.flatnonzero((100 * both >= percent * (sizes + sizes[x] - both)) & (both > 0) & (which != which[x]))
+        out += [(members[x][0], members[near[k]][0]) for k in np.unique(which[near], return_index=True)[1]]
+    return out
+
+
+def settle_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, i, j, component, doc_id, text) come tile by tile."""
+    tile, held = None, []
+
+    def links_of(held: list) -> pa.RecordBatch:
+        found = settle(held, percent)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+        for row, end, data, offsets in slices(batch.column(5)):
+            starts, ends, bounds = words(data, offsets)
+            hashes, at = shingles(word_hashes(data, starts, ends), bounds)
+            for k in range(end - row):
+                *own, component, doc_id = keys[row + k]
+                if own != tile:
+                    if held:
+                        yield links_of(held)
+                    tile, held = own, []
+                held.append((doc_id, component, np.unique(hashes[at[k] : at[k + 1]])))
+    if held:
+        yield links_of(held)
+
+
+def torn_links(spark: SparkSession, texts: DataFrame, stars: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links that the stars (hub, other) missed: those between members of one star that lie in different components."""
+    label = groups.withColumnRenamed("node", "other")
+    labelled = stars.join(label, "other", "left").withColumn("component", F.coalesce("component", "other"))
+    torn = labelled.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / TILE).cast("int").alias("chunks")).where("least <> most").select("hub", "chunks")
+    chunk = F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int")
+    rows = labelled.join(torn, "hub").withColumn("chunk", chunk)
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
+    rows = materialise(spark, rows.select("hub", F.col("other").alias("doc_id"), "component", F.explode(tiles).alias("tile")).select("hub", "doc_id", "component", "tile.i", "tile.j"), "torn")
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    dealt = texts.join(small(rows, n), "doc_id").select("hub", "i", "j", "component", "doc_id", "text").repartition(shuffle_partitions(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc_id")
+    return materialise(spark, dealt.mapInArrow(lambda x: settle_tiles(x, percent), "a bigint, b bigint"), "links")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document; see the module."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -138,31 +200,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, ban
     chosen = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id")
     members = chosen.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("other"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("other").alias("hub")).where("n > 1")
-    members = materialise(spark, members.join(shared, "key"), "members")  # of buckets with two members at least
-    found = links(spark, docs, members.where("hub <> other").select("hub", "other").distinct(), percent)
-    # A bucket of two is settled by its star; so is a hub in any bucket.
-    rest = materialise(spark, members.where("n > 2 and hub <> other").select("key", "other"), "rest")
-    checked = members.where("hub <> other").select(F.col("hub").alias("x"), F.col("other").alias("y")).distinct()
-    while True:
-        groups = components(spark, found)
-        labelled = rest.join(groups.withColumnRenamed("node", "other"), "other", "left").withColumn("component", F.coalesce("component", "other"))
-        torn = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most").select("key", "n")
-        labelled = materialise(spark, labelled.join(torn, "key"), "torn")
-        if labelled.isEmpty():
-            break
-        few = labelled.where(F.col("n") <= SMALL)
-        pairs = few.alias("u").join(few.alias("v"), F.expr("u.key = v.key and u.other < v.other and u.component <> v.component")).select(F.col("u.other").alias("hub"), F.col("v.other").alias("other"))
-        many = labelled.where(F.col("n") > SMALL)
-        largest = many.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        # The first HUBS of the members outside the largest component; the limit is applied before the shuffle too.
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("other"))
-        hubs = many.join(largest, "key").where("component <> largest").withColumn("turn", turn).where(F.col("turn") <= HUBS).select("key", F.col("other").alias("hub"), F.col("component").alias("of_hub"))
-        stars = many.join(hubs, "key").where("component <> of_hub").select("hub", "other")
-        pairs = pairs.union(stars).select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y")).distinct()
-        pairs = materialise(spark, pairs.join(checked, ["x", "y"], "left_anti"), "pairs")
-        found = found.union(links(spark, docs, pairs.select(F.col("x").alias("hub"), F.col("y").alias("other")), percent))
-        checked = checked.union(pairs)
-        rest = materialise(spark, many.select("key", "other").join(hubs.select("key", F.col("hub").alias("other")), ["key", "other"], "left_anti"), "rest")
+    members = members.join(shared.select("key", "hub"), "key")  # of buckets with two members at least
+    stars = materialise(spark, members.where("hub <> other").select("hub", "other").distinct(), "stars")
+    found = links(spark, docs, stars, percent)
+    groups = components(spark, found)
+    torn = torn_links(spark, docs, stars, groups, percent)
+    if not torn.isEmpty():
+        groups = components(spark, found.union(torn))
     of_class = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     full = signed.join(of_class, ["low", "high", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return full.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

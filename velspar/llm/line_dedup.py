@@ -33,22 +33,22 @@ def chunked(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
 
 BODY = "array_join(slice(lines, c.first + 1, c.last - c.first + 1), '\\n')"
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted rows, of a few numbers each, are few; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+#: The lines of a text outside its sorted ranges `gone`: the slices before, between and after them.
+KEPT = """array_join(flatten(transform(sequence(0, size(gone)), k -> slice(lines, if(k = 0, 0, gone[k - 1].last + 1) + 1,
+    if(k = size(gone), size(lines), gone[k].first) - if(k = 0, 0, gone[k - 1].last + 1)))), '\\n')"""
 
 
 def repeats(spark: SparkSession, docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, first, last, keeper): the chunks to remove and the document that keeps the first occurrence."""
     multi = chunked(docs, divisor).select("doc_id", "lines", F.expr(f"filter(chunks, c -> c.last - c.first + 1 >= {min_lines})").alias("chunks"))
-    refs = multi.select("doc_id", F.expr(f"inline(transform(chunks, c -> struct(c.first AS first, xxhash64({BODY}) AS key)))"))
+    refs = multi.select("doc_id", F.expr(f"inline(transform(chunks, c -> struct(c.first AS first, c.last AS last, xxhash64({BODY}) AS key)))"))
     refs = materialise(spark, refs, "chunk-refs")
     seen = refs.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("keeper")).where("n > 1").select("key", "keeper")
     repeated = materialise(spark, refs.join(seen, "key"), "chunk-repeats")
-    bodies = multi.withColumn("c", F.explode("chunks")).select("doc_id", F.col("c.first").alias("first"), F.col("c.last").alias("last"), F.expr(BODY).alias("body"))
-    bodies = bodies.join(small(repeated), ["doc_id", "first"])
+    # Bodies are cut out of the lines once for each document, so a document's lines are not carried along with every chunk.
+    own = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "key", "keeper")).alias("refs"))
+    lines = docs.where("text is not null").join(F.broadcast(own) if repeated.count() <= BROADCAST_ROWS else own, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), "refs")
+    bodies = lines.select("doc_id", F.expr(f"inline(transform(refs, c -> struct(c.first AS first, c.last AS last, c.key AS key, c.keeper AS keeper, {BODY} AS body)))"))
     is_keeper = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("first") == F.col("keeper.first"))
     kept = bodies.where(is_keeper).select("key", F.col("body").alias("kept_body"))
     same = bodies.where(~is_keeper).join(kept, "key").where("body = kept_body")
@@ -68,27 +68,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, divisor: int = DIVISOR, min
     return removed_from(docs, repeats(spark, docs, divisor, min_lines))
 
 
+def ranges(removed: DataFrame) -> DataFrame:
+    """(gone_id, gone): the sorted ranges of lines to remove; marked for broadcast if they are few."""
+    gone = removed.groupBy(F.col("doc_id").alias("gone_id")).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gone"))
+    return F.broadcast(gone) if removed.count() <= BROADCAST_ROWS else gone
+
+
 def removed_from(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    gone = removed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gone"))
-    joined = docs.join(F.broadcast(gone) if removed.count() <= BROADCAST_ROWS else gone, "doc_id", "left")
-    lines = joined.withColumn("lines", F.split("text", "\n"))
-    # Lines of removed chunks are looked up in the flat list of their numbers.
-    flat = F.expr("flatten(transform(gone, g -> sequence(g.first, g.last)))")
-    left = lines.withColumn("numbers", flat).withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(lines, (x, i) -> NOT array_contains(numbers, i)), '\\n')")))
-    return left.select("doc_id", F.col("left").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint").alias("n_lines"), F.coalesce(F.size("numbers"), F.lit(0)).cast("bigint").alias("n_removed"))
+    lines = docs.join(ranges(removed), F.col("doc_id") == F.col("gone_id"), "left").withColumn("lines", F.split("text", "\n"))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(KEPT))
+    n = F.aggregate("gone", F.lit(0), lambda s, g: s + g["last"] - g["first"] + 1)
+    return lines.select("doc_id", left.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint").alias("n_lines"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with repeated chunks taken out of `text` and, where there is one, `n_chars` to match; other columns as they were."""
     known = once(spark, docs.where("doc_id is not null"))
     plain = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = repeats(spark, plain).groupBy("doc_id").agg(F.flatten(F.collect_list(F.sequence("first", "last"))).alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_gone_id")
-    joined = known.join(small(gone), F.col("doc_id") == F.col("_gone_id"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(_gone, i)), '\\n')"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    # All columns travel as one struct, so a column named like ours cannot clash.
+    rows = known.select(F.struct(*known.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(ranges(repeats(spark, plain)), F.col("doc_id") == F.col("gone_id"), "left").withColumn("lines", F.split("text", "\n"))
+    new = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(KEPT)))
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+    fields = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text").cast(kind["text"])}
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("gone").isNull(), fields["n_chars"]).otherwise(F.char_length("text").cast(kind["n_chars"]))
+    out = new.select(*[x.alias(c) for c, x in fields.items()])
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

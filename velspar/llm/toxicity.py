@@ -7,9 +7,10 @@ quotation marks, one those with a target in the clause. They are composed into o
 each kind of match in the document; a logistic function of these sums is the score.
 
 The insult lexicon is learned from labels: words and beginnings of words (PREFIXES letters) whose documents are toxic. Document counts
-are taken over all training rows; of the candidates a greedy cover keeps those that explain toxic documents which no stronger entry
-explains, so words that only share a document (or its copies) with an insult do not enter. The cover and the logistic function are fitted on a bounded
-sample: SAMPLE toxic and 3 * SAMPLE other rows of the least hash. Threats, targets, negations and words of reported speech are the short lists below.
+are taken over all training rows, those with the same least 5-word shingle hash counting once, as copies have it in common. A word is kept if LEAST unlike toxic documents hold it, documents that share half of their other candidates counting as
+one, so the words of a copied document do not enter; of the rest, beginnings above all, a greedy cover keeps those that explain FEW toxic
+documents which no other entry explains, five for each other document that holds them. This choice and the logistic function are fitted on a bounded sample: SAMPLE toxic and 3 * SAMPLE other rows of the least
+hash. Threats, targets, negations and words of reported speech are the short lists below.
 
 Defined results: null and empty texts, and texts without a match, have the score of the logistic function at zero; without labelled rows every
 score is 0.0; repeated rows give a row each; a null doc_id is carried along. A document labelled in several rows is toxic if one of them says so.
@@ -28,7 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE, CANDIDATES, PREFIXES, LEAST = 3000, 5000, (4, 5, 6), 5
+from velspar.llm.texthash import shingles, slices, word_hashes, words
+from velspar.session import materialise
+
+SAMPLE, CANDIDATES, PREFIXES, LEAST, FEW = 3000, 20_000, (3, 4, 5, 6, 7, 8), 5, 3
+#: Marked documents are joined by broadcast up to this many (16 bytes each), else by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?:;\n]|[\"“”„«»]")
 
@@ -146,28 +152,56 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.bool_()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["entry", "is_prefix", "toxic", "others"])
 
 
-def cover(docs: list[tuple[int, frozenset]], candidates: dict[tuple[str, bool], float], least: int = LEAST) -> list[tuple[str, bool]]:
-    """Greedy: the entry that explains most toxic documents still unexplained, less twice the other documents that it holds, until under `least`."""
-    holds: dict[tuple[str, bool], list[int]] = {}
-    false = Counter()
-    for k, (toxic, own) in enumerate(docs):
-        for e in own:
-            if toxic:
-                holds.setdefault(e, []).append(k)
-            else:
-                false[e] += 1
-    left = {k for k, (toxic, _) in enumerate(docs) if toxic}
-    chosen = []
-    while True:
-        gains = {e: sum(k in left for k in ks) - 2 * false[e] for e, ks in holds.items()}
-        if not gains:
-            return chosen
-        # Of equal gains the longer beginning, then the whole word: the narrower entry.
-        best = max(gains, key=lambda e: (gains[e], e[1] and len(e[0]) or 99, e[0]))
-        if gains[best] < max(least, 0.002 * len(docs) / 4):
-            return chosen
+Entry = tuple[str, bool]  # a word, or a beginning
+
+
+def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sketch): the least shingle hash of each text; 0 for a text without words."""
+    for batch in batches:
+        for row, end, data, offsets in slices(batch.column(1)):
+            starts, ends, bounds = words(data, offsets)
+            hashes, at = shingles(word_hashes(data, starts, ends), bounds)
+            some = np.flatnonzero(np.diff(at))
+            least = np.zeros(end - row, np.uint64)
+            if len(some):
+                least[some] = np.minimum.reduceat(hashes, at[some])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(least.view(np.int64))], ["doc_id", "sketch"])
+
+
+def unlike(holders: list[np.ndarray], entry: int, enough: int) -> bool:
+    """Whether `enough` of the documents are unlike: none shares half of its candidates, the entry aside, with one counted before."""
+    leaders: list[np.ndarray] = []
+    for own in holders[:200]:
+        rest = own[own != entry]
+        both = [len(np.intersect1d(rest, x, assume_unique=True)) for x in leaders]
+        if not len(rest) or all(3 * n < len(rest) + len(x) for n, x in zip(both, leaders, strict=True)):
+            leaders.append(rest)
+            if len(leaders) >= enough:
+                return True
+    return False
+
+
+def choose(docs: list[tuple[int, np.ndarray]], entries: list[Entry], least: int = LEAST, few: int = FEW) -> list[Entry]:
+    """The entries of the lexicon, from the candidates (numbers of entries) that each sampled document holds."""
+    n = len(entries)
+    false = np.bincount(np.concatenate([np.zeros(0, int), *(own for toxic, own in docs if not toxic)]), minlength=n)
+    toxic = [own for t, own in docs if t]
+    holds: list[list[int]] = [[] for _ in range(n)]
+    for k, own in enumerate(toxic):
+        for e in own.tolist():
+            holds[e].append(k)
+    chosen = [e for e in range(n) if not entries[e][1] and len(holds[e]) >= max(least, 5 * false[e]) and unlike([toxic[k] for k in holds[e]], e, least)]
+    left = set(range(len(toxic))) - {k for e in chosen for k in holds[e]}
+    rest = {e: set(holds[e]) & left for e in set(range(n)) - set(chosen) if len(holds[e]) >= few}
+    while left and rest:
+        # Of equal gains the whole word, then the longer beginning: the narrower entry.
+        best = max(rest, key=lambda e: (len(rest[e]) - 5 * false[e], not entries[e][1], len(entries[e][0]), entries[e][0]))
+        if len(rest[best]) - 5 * false[best] < few:
+            break
         chosen.append(best)
-        left -= set(holds.pop(best))
+        left -= rest.pop(best)
+        rest = {e: ks & left for e, ks in rest.items() if len(ks & left) >= few}
+    return [entries[e] for e in chosen]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 0.05, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -189,30 +223,35 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Fit on `docs` (doc_id, text) with labels (doc_id, toxic); only known labels count."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.where("text is not null").join(marks, "doc_id").select("doc_id", "text", "toxic")
+    marks = F.broadcast(marks) if labels.count() <= BROADCAST_ROWS else marks
+    marked = docs.where("text is not null").join(marks, "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic")
+    sketch = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(sketches, "doc_id bigint, sketch bigint")
+    kept = materialise(marked.sparkSession, sketch.groupBy("sketch").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "toxicity-rows")
+    rows = marked.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "doc_id")
     sums = rows.select("text", "toxic").mapInArrow(word_counts, "entry string, is_prefix boolean, toxic bigint, others bigint").groupBy("entry", "is_prefix").agg(F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
-    base = marks.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0
+    base = rows.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0
     lift = 1.0 if base >= 1 else max(0.0, base) / (1 - base)
-    strong = sums.where((F.col("toxic") >= LEAST) & (F.col("toxic") >= 20 * lift * F.col("others")))
-    found = strong.orderBy(F.desc("toxic"), "others", "is_prefix", "entry").limit(CANDIDATES).collect()
-    candidates = {(r["entry"], r["is_prefix"]): math.log((r["toxic"] + 0.5) / (r["others"] * lift + 0.5)) for r in found}
-    words, beginnings = {e for e, p in candidates if not p}, {e for e, p in candidates if p}
+    strong = sums.where((F.col("toxic") >= FEW) & (F.col("toxic") >= 20 * lift * F.col("others")))
+    found = strong.orderBy(F.desc(F.col("toxic") - F.col("others")), "is_prefix", "entry").limit(CANDIDATES).collect()
+    entries = [(r["entry"], r["is_prefix"]) for r in found]
+    weight = {(r["entry"], r["is_prefix"]): r["toxic"] / (r["toxic"] + 5 * r["others"] + 1) for r in found}
+    words_of, beginnings = {e: k for k, (e, p) in enumerate(entries) if not p}, {e: k for k, (e, p) in enumerate(entries) if p}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
                 own = set(_WORD.findall((text or "").lower()))
-                out.append(sorted({f"w{w}" for w in own & words} | {f"p{w[:n]}" for w in own for n in PREFIXES if len(w) > n and w[:n] in beginnings}))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.string()))], ["toxic", "entries"])
+                out.append(sorted({words_of[w] for w in own if w in words_of} | {beginnings[w[:n]] for w in own for n in PREFIXES if len(w) > n and w[:n] in beginnings}))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["toxic", "entries"])
 
     turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = marks.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id").withColumn("turn", turn).where(F.col("turn") <= F.when(F.col("toxic") == 1, SAMPLE).otherwise(3 * SAMPLE))
-    sample = docs.where("text is not null").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids at most
-    seen = [(r["toxic"], frozenset((e[1:], e[0] == "p") for e in r["entries"])) for r in sample.mapInArrow(held, "toxic int, entries array<string>").collect()]
-    seen.sort(key=lambda r: (r[0], sorted(r[1])))
-    chosen = cover(seen, candidates)
-    grammar = Grammar({e: max(0.5, candidates[e, p]) for e, p in chosen if not p}, {e: max(0.5, candidates[e, p]) for e, p in chosen if p})
+    picked = rows.select("doc_id", "toxic").distinct().withColumn("turn", turn).where(F.col("turn") <= F.when(F.col("toxic") == 1, SAMPLE).otherwise(3 * SAMPLE))
+    sample = marked.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids at most
+    table = sample.mapInArrow(held, "toxic int, entries array<int>").toArrow()
+    seen = sorted(((t, e) for t, e in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)), key=lambda r: (r[0], r[1]))
+    chosen = choose([(t, np.array(e, int)) for t, e in seen], entries)
+    grammar = Grammar({e: weight[e, p] for e, p in chosen if not p}, {e: weight[e, p] for e, p in chosen if p})
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

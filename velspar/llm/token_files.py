@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velspar.session import scratch, shuffle_partitions
+from velspar.session import materialise, scratch, shuffle_partitions
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
@@ -150,7 +150,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: start counts the ids of all rows before. Only these numbers are shuffled, by block."""
-    own = read_tokens(spark, path).mapInArrow(digests, "doc_id bigint, block int, place bigint, n_tokens bigint, ids_crc32 bigint")
+    own = materialise(spark, read_tokens(spark, path).mapInArrow(digests, "doc_id bigint, block int, place bigint, n_tokens bigint, ids_crc32 bigint"), "token-digests")
     totals = own.groupBy("block").agg(F.sum("n_tokens").alias("total")).orderBy("block").collect()  # one row for each block
     before, at = [], 0
     for r in totals:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -133,18 +134,22 @@ def deal(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iter
 
 def count(part: int, blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray, parts: int) -> Iterator[tuple[str, int, bytes]]:
     """(kind, target partition, blob) of one partition's pairs: see the module."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for blob in blobs:
-        tokens, runs, contexts, index, ids, use, place, n = unpack(blob)
-        for column, x in zip(columns, (np.repeat(tokens.astype(U), runs.astype(np.int64)), contexts.astype(U)[index], ids[place], use[place], n.astype(np.int64)), strict=True):
+    # Blobs bring their own tables of tokens, contexts and documents; each pair is numbered by the partition's tables in 32 bits.
+    tokens, contexts, ids = (np.unique(np.concatenate(x)) for x in zip(*[[y[k].astype(U if k < 4 else np.int64) for k in (0, 2, 4)] for y in map(unpack, blobs)], strict=True))
+    use = np.zeros(len(ids), bool)
+    columns: list[list[np.ndarray]] = [[] for _ in range(4)]
+    for k, blob in enumerate(blobs):
+        blobs[k] = b""
+        own_tokens, runs, own_contexts, index, own_ids, own_use, place, n = unpack(blob)
+        at = np.searchsorted(ids, own_ids).astype(np.int32)
+        use[at] = own_use
+        for column, x in zip(columns, (np.repeat(np.searchsorted(tokens, own_tokens).astype(np.int32), runs.astype(np.int64)), np.searchsorted(contexts, own_contexts).astype(np.int32)[index], at[place], n.astype(np.int32)), strict=True):
             column.append(x)
-    token, context, doc, use, n = map(np.concatenate, columns)
-    del columns, blobs
-    tokens, t = np.unique(token, return_inverse=True)
-    contexts, c = np.unique(context, return_inverse=True)
-    del token, context
+    t, c, d, n = map(np.concatenate, columns)
+    del columns
     pair, p = np.unique(t.astype(U) << U(32) | c.astype(U), return_inverse=True)
-    learned = np.where(use, n, 0)
+    p = p.astype(np.int32)
+    learned = np.where(use[d], n, 0)
     c_token = np.bincount(t, learned, len(tokens)).astype(np.int64)
     own = np.ones(len(tokens), bool)
     if len(hot):
@@ -152,9 +157,8 @@ def count(part: int, blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray, par
         own = hot[rank] != tokens
         c_token = np.where(own, c_token, hot_n[rank])
     c_pair = np.bincount(p, learned, len(pair)).astype(np.int64)
+    del learned
     # Sums for the documents.
-    ids, d = np.unique(doc, return_inverse=True)
-    del doc
     ct, cp = c_token[t], c_pair[p]
     seen = cp > 0
     add = lambda w, where=slice(None): np.bincount(d[where], w[where], len(ids))
@@ -166,7 +170,7 @@ def count(part: int, blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray, par
     for q in np.unique(target).tolist():
         o = target == q
         yield "doc", q, pack(ids[o], *[x[o].astype(U) if k in counts else x[o] for k, x in enumerate(sums)])
-    del sums, log
+    del sums, log, ct, cp, p, t
     # Pairs that back off, for their contexts.
     far = (mix(contexts + U(5)) % U(parts)).astype(np.int64)
     off = np.flatnonzero(~seen)
@@ -291,8 +295,10 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     dealt = docs.mapInArrow(lambda x: deal(x, hot, parts), "part int, blob binary")
     tables = materialise(spark, blobs_by(dealt, parts, "part").applyInPandas(counted, "kind string, target int, blob binary"), "katz-counts")
     del dealt
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the pairs, which are counted now
+    for _ in range(2):  # lets Spark remove the shuffle files of the pairs, which are counted now
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
     stats = [sum(x) for x in zip(*[unpack(r["blob"])[0].tolist() for r in tables.where("kind = 'stats'").select("blob").collect()], strict=True)] or [0] * (2 * K + 3)
     n1, n2, types = stats[: K + 1], stats[K + 1 : 2 * K + 2], stats[-1] + int((hot_n > 0).sum())
     # Hot tokens may have small counts in training texts of a small corpus.

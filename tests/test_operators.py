@@ -217,3 +217,24 @@ def test_names(spark):
     assert rows(agreement.name_agreement(a, b)) == [(1, 0.5, 1), (2, 0.0, 0)]
     lift = {r["word"]: r for r in agreement.name_lift(a, b).collect()}
     assert lift["ship"]["confirmed"] == 0.5 and lift["ship"]["lift"] == 1.0 and lift["sea"]["lift"] is None
+
+
+def test_pooling_and_assignment(spark):
+    import itertools
+
+    from velspar.operators import pooling
+
+    labels = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "z"), (3, "z")], "id int, label string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "label string, vector array<double>")
+    got = {r["id"]: r for r in pooling.mean_pool(labels, vectors).collect()}
+    assert [round(x, 6) for x in got[1]["vector"]] == [round(math.sqrt(0.5), 6)] * 2 and got[2]["vector"] == [1.0, 0.0] and 3 not in got
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 3), (3, 5), (4, 6)):
+        cost = rng.normal(size=(n, m))
+        best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+        chosen = pooling.assign(cost)
+        assert len(set(chosen)) == n and sum(cost[i, j] for i, j in enumerate(chosen)) == pytest.approx(best)
+    df = spark.createDataFrame([(k, float(k % 3)) for k in range(8)], "id int, v double")
+    assert [r["band"] for r in pooling.terciles(df, "v").orderBy("place").collect()] == [0, 0, 1, 1, 2, 2, 2, 2]
+    white = spark.range(1).select(pooling.lab(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("x")).first()["x"]
+    assert white == pytest.approx([100, 0, 0], abs=0.01)

@@ -21,4 +21,8 @@ def normalise(df: DataFrame, column: str = "vector", strict: bool = True) -> Dat
 
 def weighted_concat(parts: list[tuple[str, float]]) -> Column:
     """Several vectors as one, each times its weight; a cosine of the result weighs theirs by the squares."""
-    return F.concat(*[F.transform(c, lambda x, w=w: x.cast("double") * w) for c, w in parts])
+
+    def scaled(column: str, weight: float) -> Column:
+        return F.transform(column, lambda x: x.cast("double") * weight)
+
+    return F.concat(*[scaled(c, w) for c, w in parts])

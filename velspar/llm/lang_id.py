@@ -88,7 +88,7 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
     embedding = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weights, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     weights += rng.normal(0, 0.1, weights.shape).astype(np.float32)
-    rows = [(index[lang], np.asarray(at), np.asarray(w, np.float32) / np.float32(sum(w))) for lang, at, w in sample]
+    rows = [(index[lang], np.asarray(at), np.asarray(w, np.float32) / np.float32(np.sum(w))) for lang, at, w in sample]
     train = [r for k, r in enumerate(rows) if k % 5] or rows
     steps, step = epochs * len(train), 0
     for _ in range(epochs):
@@ -122,8 +122,12 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     chosen = sample.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_lang).select("doc_id").distinct()
     # per_lang rows for each language at most: a bounded side.
     picked = docs.join(F.broadcast(chosen), "doc_id", "left_semi").where("lang is not null and text is not null").select("lang", "text")
-    found = picked.mapInArrow(counts, "lang string, at array<int>, weight array<float>").toArrow().to_pydict()
-    rows = sorted(zip(found["lang"], found["at"], found["weight"], strict=True), key=lambda r: (r[1], r[2], r[0]))
+    found = picked.mapInArrow(counts, "lang string, at array<int>, weight array<float>").toArrow().combine_chunks()
+    langs = found.column("lang").to_pylist()
+    cells = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (found.column("at"), found.column("weight"))]
+    # Views of two flat arrays, not lists of numbers: the driver holds a few bytes for each count.
+    at, weight = ([v[a:b] for a, b in zip(o[:-1], o[1:], strict=True)] for v, o in ((c.values.to_numpy(), c.offsets.to_numpy().tolist()) for c in cells))
+    rows = sorted(zip(langs, at, weight, strict=True), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     rng = np.random.default_rng(1)
     return fit([rows[k] for k in rng.permutation(len(rows))])
 

@@ -248,9 +248,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = rows.select("doc_id", "toxic").distinct().withColumn("turn", turn).where(F.col("turn") <= F.when(F.col("toxic") == 1, SAMPLE).otherwise(3 * SAMPLE))
     sample = marked.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids at most
-    table = sample.mapInArrow(held, "toxic int, entries array<int>").toArrow()
-    seen = sorted(((t, e) for t, e in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)), key=lambda r: (r[0], r[1]))
-    chosen = choose([(t, np.array(e, int)) for t, e in seen], entries)
+    table = sample.mapInArrow(held, "toxic int, entries array<int>").toArrow().combine_chunks()
+    held_entries = table.column(1).combine_chunks()
+    flat, cuts = held_entries.values.to_numpy(), held_entries.offsets.to_numpy().tolist()
+    seen = sorted(((t, flat[a:b]) for t, a, b in zip(table.column(0).to_pylist(), cuts[:-1], cuts[1:], strict=True)), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    chosen = choose(seen, entries)
     grammar = Grammar({e: weight[e, p] for e, p in chosen if not p}, {e: weight[e, p] for e, p in chosen if p})
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,3 +83,31 @@ def test_discounts_fall_back():
     assert (katz.discounts([0] * 6) == 1).all()
     d = katz.discounts([1000, 300, 150, 90, 60, 45])
     assert (np.diff(d[1:]) > -0.2).all() and (d[1:] > 0).all() and (d[1:] <= 1).all()
+
+
+@pytest.mark.parametrize(
+    "n",
+    [
+        # The training folds of sf0.01 and sf0.1, unigrams and bigrams: copies swell n5.
+        [49663, 12919, 5197, 2729, 2383, 1067],
+        [193655, 25105, 6496, 2179, 2497, 618],
+        [207344, 59772, 25017, 14274, 13493, 7080],
+        [1579638, 246704, 51653, 21705, 18939, 7580],
+        [900, 200, 0, 40, 90, 10],
+    ],
+)
+def test_copies_keep_good_turing(n):
+    r = np.arange(1, katz.K + 1)
+    d = katz.discounts(n)[1:]
+    assert (d > 0).all() and (d < 1).all() and (np.diff(d) > 0).all()
+    # Katz's scale: ratios (r + 1) n[r + 1] / (r n[r]) of a power law are ((r + 1) / r) ** (slope + 1), 1 - d in proportion to 1 - ratio.
+    z = np.array(n) / [0.5 * ((np.flatnonzero(n[k + 1 :])[0] + 1 if any(n[k + 1 :]) else 1) + (np.flatnonzero(n[:k][::-1])[0] + 1 if k else 1)) for k in range(6)]
+    at = np.flatnonzero(n)
+    slope = np.polyfit(np.log(at + 1), np.log(z[at]), 1)[0]
+    ratio = ((r + 1) / r) ** (slope + 1)
+    assert (1 - d) / (1 - d[0]) == pytest.approx((1 - ratio) / (1 - ratio[0]))
+
+
+def test_absolute_only_without_a_falling_line():
+    assert katz.discounts([10, 0, 0, 0, 0, 0])[1:] == pytest.approx([(r - 0.99) / r for r in range(1, 6)])
+    assert katz.discounts([10, 9, 10, 9, 12, 11])[1:] == pytest.approx([(r - 10 / 28) / r for r in range(1, 6)])

@@ -199,19 +199,36 @@ def count(part: int, blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray, par
     yield "stats", 0, pack(np.array(stats, np.int64))
 
 
+def smoothed(n: list[int]) -> np.ndarray | None:
+    """Simple Good-Turing's numbers of types with counts 1 to len(n): the line through log Z over log r, where Z is n shared out over the gap between
+    its neighbours that are not 0. None where the line falls no faster than 1 / r, as no discount follows from it then."""
+    r = np.flatnonzero(n) + 1
+    if len(r) < 2:
+        return None
+    before, after = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - r[-2])
+    slope, level = np.polyfit(np.log(r), np.log(np.array(n)[r - 1] / (0.5 * (after - before))), 1)
+    return np.exp(level + slope * np.log(np.arange(1, len(n) + 1))) if slope < -1 else None
+
+
+def good_turing(n: np.ndarray) -> np.ndarray | None:
+    """Discounts for counts 1 to K, the entry for 0 is 1; None if one does not lie in (0, 1]."""
+    r, a = np.arange(1, K + 1), (K + 1) * n[K] / n[0]
+    out = np.append(1.0, ((r + 1) * n[1:] / n[:-1] / r - a) / (1 - a)) if a < 1 else np.zeros(K + 1)
+    return out if (out > 0).all() and (out <= 1).all() else None
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Katz's discounts for counts 1 to K from the numbers n of types with counts 1 to K + 1; d[0] is not used.
 
-    Where the Good-Turing estimate does not lie in (0, 1] for every count, absolute discounting by n1 / (n1 + 2 n2) stands in.
+    Good-Turing by n as they are; where that does not lie in (0, 1] for every count, as groups of copies swell single n, by the smoothed n. Only where
+    these do not fall faster than 1 / r, or fewer than two n are above 0, absolute discounting by n1 / (n1 + 2 n2) stands in.
     """
+    found = good_turing(np.array(n, float)) if all(n) else None
+    if found is None and (line := smoothed(n)) is not None:
+        found = good_turing(line)
+    if found is not None:
+        return found
     out = np.ones(K + 1)
-    if all(n):
-        a = (K + 1) * n[K] / n[0]
-        if a < 1:
-            for r in range(1, K + 1):
-                out[r] = ((r + 1) * n[r] / n[r - 1] / r - a) / (1 - a)
-            if (out[1:] > 0).all() and (out[1:] <= 1).all():
-                return out
     cut = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     out[1:] = [(r - min(cut, 0.99)) / r for r in range(1, K + 1)]
     return out

@@ -190,15 +190,15 @@ CONTROL_SQL = PAIR_SQL + """, e AS (SELECT b.q, b.c AS p, x.c AS ctl, b.v AS tar
   AND NOT EXISTS (SELECT 1 FROM few l JOIN few m ON l.label = m.label WHERE l.id = b.q AND m.id = x.c))"""
 
 
-def controls(spark, d):
+def controls(spark, d, below: int | None = None):
     hard = pairs.select_pairs(classified(spark, d), 40).where("class = 'hard_positive'")
     scores = both_scores(spark, d).select("query_id", "candidate_id", F.col("v").alias("score"))
-    return pairs.eligible_controls(hard, scores, items(spark, d).select("id", "stratum"), labels(spark, d, 400))
+    return pairs.eligible_controls(hard, scores, items(spark, d).select("id", "stratum"), labels(spark, d, below))
 
 
 @query(with_("uv vg item lab few", CONTROL_SQL + " SELECT q AS query_id, p AS positive_id, ctl AS control_id, target, score FROM e"))
 def matched_control_candidates(spark, d):
-    return controls(spark, d)
+    return controls(spark, d, 400)
 
 
 @query()
@@ -208,7 +208,7 @@ def matched_controls(spark, d):
 
 @query(with_("uv vg item lab few", CONTROL_SQL + " SELECT round(avg(CASE WHEN target > score THEN 1.0 WHEN target = score THEN 0.5 ELSE 0.0 END), 6) AS auc FROM e"))
 def paired_auc(spark, d):
-    return rounded(metrics.paired_auc(controls(spark, d), "target", "score"), "auc")
+    return rounded(metrics.paired_auc(controls(spark, d, 400), "target", "score"), "auc")
 
 
 @query(with_("uv vg", "SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM (SELECT v, p, n, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT v, sum(rel::INT) AS p, sum((NOT rel)::INT) AS n FROM vg WHERE q < c GROUP BY v))"))

@@ -1,5 +1,6 @@
 """Queries without SQL read whole tables: compared with direct computations on the smallest tables."""
 
+import itertools
 from collections import Counter, defaultdict
 
 import duckdb
@@ -33,3 +34,19 @@ def test_adjacency_svd_has_the_whole_graph(spark, sf):
     x = np.array([got[k] for k in names])
     top = np.sort(np.abs(np.linalg.eigvalsh(matrix)))[::-1][: x.shape[1]]
     assert abs(np.abs(np.linalg.eigvalsh(x.T @ matrix @ x)).max() - top[0]) < 1e-6 * top[0]
+
+
+def test_soft_set_match_has_all_items_of_a_book(spark, sf):
+    own = held(sf)
+    vector = {f"S{i}": np.array(v, float) / np.linalg.norm(v) for i, v in duckdb.sql(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet'").fetchall()}
+    book = dict(duckdb.sql(f"SELECT o_orderkey, o_custkey FROM '{sf}/orders.parquet'").fetchall())
+    sets = {i: [vector[x] for x in ls if x in vector] for i, ls in own.items() if i in book}
+    members = defaultdict(list)
+    for i in sorted(i for i, vs in sets.items() if vs):
+        members[book[i]].append(i)
+    got = {(r["a"], r["b"]): r["score"] for r in more.soft_set_match(spark, sf).collect()}
+    assert set(got) == {p for ids in members.values() for p in itertools.combinations(ids, 2)}
+    for a, b in sorted(got)[:: max(1, len(got) // 40)]:
+        x, y = sorted((sets[a], sets[b]), key=len)
+        best = max(np.mean([u @ v for u, v in zip(x, p)]) for p in itertools.permutations(y, len(x)))
+        assert abs(got[a, b] - best) < 1e-6

@@ -147,8 +147,8 @@ def agreement_floor(spark, d):
 @query()
 def soft_set_match(spark, d):
     """Best assignment of the label vectors of two items of a book."""
-    concepts = X.vectors(spark, d).where("id < 100").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("label"), "vector")
-    sets = labels(spark, d, 400).join(concepts, "label").groupBy("id").agg(F.collect_list("vector").alias("vs")).join(items(spark, d).select("id", "book"), "id")
+    concepts = X.vectors(spark, d).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("label"), "vector")
+    sets = labels(spark, d).join(concepts, "label").groupBy("id").agg(F.collect_list("vector").alias("vs")).join(items(spark, d).select("id", "book"), "id")
     pairs = sets.alias("a").join(sets.alias("b"), F.expr("a.book = b.book and a.id < b.id"))
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), pooling.soft_match(F.col("a.vs"), F.col("b.vs")).alias("score"))
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from velspar.llm import fingerprint as P
@@ -178,6 +179,25 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert {r["score"] for r in toxicity.score(frame(spark, [(1, "grunk")]), none).collect()} < {0.0} | {toxicity.Grammar().score(np.zeros(7))}
 
 
+def test_toxicity_copies_are_equal_sets(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    texts = [passage, passage + " one two three four five six", "seven eight nine ten eleven " + passage, passage.upper() + " ", "", " . "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([0] * 6, pa.int32()), pa.array(texts)], ["doc_id", "toxic", "text"])
+    got = [(r["a"], r["b"]) for b in toxicity.sketches(iter([batch])) for r in b.to_pylist()]
+    assert got[0] == got[3] and len({*got[:3]}) == 3 and got[4] == (0, 0)
+
+
+def test_toxicity_counts_documents_that_share_a_passage(spark, monkeypatch):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{passage} a{k} b{k} c{k}" if k < 30 else None if k == 40 else "") for k in range(60)]
+    rows += [(100, rows[0][1]), (101, rows[1][1])]
+    marks = [(k, int(k < 15)) for k in range(60)] + [(100, 1), (101, 0)]  # 100 is a copy of 0; 101 has the text of 1 and another label
+    seen = []
+    monkeypatch.setattr(toxicity, "choose", lambda docs, entries, **_: seen.extend(t for t, _ in docs) or [])
+    toxicity.learn(frame(spark, rows), frame(spark, marks, "doc_id bigint, toxic int"))
+    assert (seen.count(1), seen.count(0)) == (15, 15 + 29 + 1)
+
+
 def test_clauses_decide():
     g = toxicity.Grammar({"idiot": 1.0}, {"mor": 1.0})
     kinds = lambda t: {k: v for k, v in zip(toxicity.KINDS, g.matches(t)) if v}

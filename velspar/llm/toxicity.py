@@ -7,7 +7,7 @@ quotation marks, one those with a target in the clause. They are composed into o
 each kind of match in the document; a logistic function of these sums is the score.
 
 The insult lexicon is learned from labels: words and beginnings of words (PREFIXES letters) whose documents are toxic. Document counts
-are taken over all training rows, those with the same least 5-word shingle hash counting once, as copies have it in common. A word is kept if LEAST unlike toxic documents hold it, documents that share half of their other candidates counting as
+are taken over all training rows; those with the same set of 5-word shingles and the same label are copies and count once, texts without words each. A word is kept if LEAST unlike toxic documents hold it, documents that share half of their other candidates counting as
 one, so the words of a copied document do not enter; of the rest, beginnings above all, a greedy cover keeps those that explain FEW toxic
 documents which no other entry explains, five for each other document that holds them. This choice and the logistic function are fitted on a bounded sample: SAMPLE toxic and 3 * SAMPLE other rows of the least
 hash. Threats, targets, negations and words of reported speech are the short lists below.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velspar.llm.texthash import shingles, slices, word_hashes, words
+from velspar.llm.texthash import mix, shingles, slices, word_hashes, words
 from velspar.session import materialise
 
 SAMPLE, CANDIDATES, PREFIXES, LEAST, FEW = 3000, 20_000, (3, 4, 5, 6, 7, 8), 5, 3
@@ -156,16 +156,23 @@ Entry = tuple[str, bool]  # a word, or a beginning
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, sketch): the least shingle hash of each text; 0 for a text without words."""
+    """(doc_id, toxic, a, b): two sums of hashes over each text's set of shingles, which only texts of equal sets share; 0 for a text without words."""
     for batch in batches:
-        for row, end, data, offsets in slices(batch.column(1)):
+        for row, end, data, offsets in slices(batch.column(2)):
             starts, ends, bounds = words(data, offsets)
             hashes, at = shingles(word_hashes(data, starts, ends), bounds)
-            some = np.flatnonzero(np.diff(at))
-            least = np.zeros(end - row, np.uint64)
-            if len(some):
-                least[some] = np.minimum.reduceat(hashes, at[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(least.view(np.int64))], ["doc_id", "sketch"])
+            text = np.repeat(np.arange(end - row), np.diff(at))
+            order = np.lexsort((hashes, text))
+            hashes, text = hashes[order], text[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+            hashes, text = hashes[new], text[new]
+            sums = np.zeros((2, end - row), np.uint64)
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            if len(first):
+                for k in range(2):
+                    sums[k, text[first]] = np.add.reduceat(mix(hashes + np.uint64(k + 1)), first)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), *(pa.array(x.view(np.int64)) for x in sums)], ["doc_id", "toxic", "a", "b"])
 
 
 def unlike(holders: list[np.ndarray], entry: int, enough: int) -> bool:
@@ -225,8 +232,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = F.broadcast(marks) if labels.count() <= BROADCAST_ROWS else marks
     marked = docs.where("text is not null").join(marks, "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic")
-    sketch = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(sketches, "doc_id bigint, sketch bigint")
-    kept = materialise(marked.sparkSession, sketch.groupBy("sketch").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "toxicity-rows")
+    sketch = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text").mapInArrow(sketches, "doc_id bigint, toxic int, a bigint, b bigint")
+    wordless = F.when((F.col("a") == 0) & (F.col("b") == 0), F.col("doc_id"))
+    kept = sketch.groupBy("a", "b", "toxic", wordless.alias("wordless")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    kept = materialise(marked.sparkSession, kept, "toxicity-rows")
     rows = marked.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "doc_id")
     sums = rows.select("text", "toxic").mapInArrow(word_counts, "entry string, is_prefix boolean, toxic bigint, others bigint").groupBy("entry", "is_prefix").agg(F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
     base = rows.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0

@@ -198,6 +198,23 @@ def test_toxicity_counts_documents_that_share_a_passage(spark, monkeypatch):
     assert (seen.count(1), seen.count(0)) == (15, 15 + 29 + 1)
 
 
+def test_unlike_reads_all_holders():
+    copies = [np.arange(10)] * 250
+    others = [np.concatenate(([0], np.arange(20 * k, 20 * k + 10))) for k in range(1, 5)]
+    assert toxicity.unlike([*copies, *others], 0, 5) and not toxicity.unlike(copies, 0, 5)
+
+
+def test_toxicity_has_every_candidate_of_the_sample(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    word = lambda k: "zz" + "".join(letters[k // 20**i % 20] for i in range(4))
+    rows = [(k, " ".join(word(j) for j in range(k // 3 * 4000, k // 3 * 4000 + 4000)) + f" x{k}") for k in range(18)] + [(100 + k, f"plain text {k} of no harm") for k in range(40)]
+    marks = [(i, int(i < 100)) for i, _ in rows]
+    seen = []
+    monkeypatch.setattr(toxicity, "choose", lambda docs, entries, **_: seen.extend(entries) or [])
+    toxicity.learn(frame(spark, rows), frame(spark, marks, "doc_id bigint, toxic int"))
+    assert {e for e, p in seen if not p} >= {word(j) for j in range(24_000)}
+
+
 def test_clauses_decide():
     g = toxicity.Grammar({"idiot": 1.0}, {"mor": 1.0})
     kinds = lambda t: {k: v for k, v in zip(toxicity.KINDS, g.matches(t)) if v}

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from velspar.llm.texthash import mix, shingles, slices, word_hashes, words
 from velspar.session import materialise
 
-SAMPLE, CANDIDATES, PREFIXES, LEAST, FEW = 3000, 20_000, (3, 4, 5, 6, 7, 8), 5, 3
+SAMPLE, PREFIXES, LEAST, FEW = 3000, (3, 4, 5, 6, 7, 8), 5, 3
 #: Marked documents are joined by broadcast up to this many (16 bytes each), else by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -178,7 +178,7 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def unlike(holders: list[np.ndarray], entry: int, enough: int) -> bool:
     """Whether `enough` of the documents are unlike: none shares half of its candidates, the entry aside, with one counted before."""
     leaders: list[np.ndarray] = []
-    for own in holders[:200]:
+    for own in holders:
         rest = own[own != entry]
         both = [len(np.intersect1d(rest, x, assume_unique=True)) for x in leaders]
         if not len(rest) or all(3 * n < len(rest) + len(x) for n, x in zip(both, leaders, strict=True)):
@@ -241,7 +241,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     base = rows.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0
     lift = 1.0 if base >= 1 else max(0.0, base) / (1 - base)
     strong = sums.where((F.col("toxic") >= FEW) & (F.col("toxic") >= 20 * lift * F.col("others")))
-    found = strong.orderBy(F.desc(F.col("toxic") - F.col("others")), "is_prefix", "entry").limit(CANDIDATES).collect()
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = rows.select("doc_id", "toxic").distinct().withColumn("turn", turn).where(F.col("turn") <= F.when(F.col("toxic") == 1, SAMPLE).otherwise(3 * SAMPLE))
+    sample = marked.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids at most
+    # Entries that no sampled row holds cannot be chosen nor tell sampled rows apart; the rest are bounded by the sample.
+    present = sample.mapInArrow(word_counts, "entry string, is_prefix boolean, toxic bigint, others bigint").select("entry", "is_prefix").distinct()
+    found = strong.join(present, ["entry", "is_prefix"], "left_semi").orderBy(F.desc(F.col("toxic") - F.col("others")), "is_prefix", "entry").collect()
     entries = [(r["entry"], r["is_prefix"]) for r in found]
     weight = {(r["entry"], r["is_prefix"]): r["toxic"] / (r["toxic"] + 5 * r["others"] + 1) for r in found}
     words_of, beginnings = {e: k for k, (e, p) in enumerate(entries) if not p}, {e: k for k, (e, p) in enumerate(entries) if p}
@@ -254,9 +259,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
                 out.append(sorted({words_of[w] for w in own if w in words_of} | {beginnings[w[:n]] for w in own for n in PREFIXES if len(w) > n and w[:n] in beginnings}))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["toxic", "entries"])
 
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("doc_id", "toxic").distinct().withColumn("turn", turn).where(F.col("turn") <= F.when(F.col("toxic") == 1, SAMPLE).otherwise(3 * SAMPLE))
-    sample = marked.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids at most
     table = sample.mapInArrow(held, "toxic int, entries array<int>").toArrow().combine_chunks()
     held_entries = table.column(1).combine_chunks()
     flat, cuts = held_entries.values.to_numpy(), held_entries.offsets.to_numpy().tolist()

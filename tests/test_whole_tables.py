@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 
+from velspar.operators import agreement
 from velspar.plans import more, retrieval
 
 
@@ -50,3 +51,12 @@ def test_soft_set_match_has_all_items_of_a_book(spark, sf):
         x, y = sorted((sets[a], sets[b]), key=len)
         best = max(np.mean([u @ v for u, v in zip(x, p)]) for p in itertools.permutations(y, len(x)))
         assert abs(got[a, b] - best) < 1e-6
+
+
+def test_resamples_are_the_operators_own(spark, sf):
+    p = retrieval.permutation_test(spark, sf).first()["p"]
+    assert abs(p * 10_001 - round(p * 10_001)) < 1e-6
+    values = retrieval._paired(spark, sf).selectExpr("'v' AS method", "v AS value")
+    want = agreement.bootstrap_ci(values, "method", "value", 10_000).first()
+    got = retrieval.bootstrap_ci(spark, sf).where("method = 'v'").first()
+    assert (got["low"], got["high"]) == (want["low"], want["high"])

@@ -264,12 +264,12 @@ def _paired(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     both = _paired(spark, d).select(F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.col(n).alias("value")) for n in "vg"])).alias("r")).select("r.*")
-    return agreement.bootstrap_ci(both, "method", "value", 2000)
+    return agreement.bootstrap_ci(both, "method", "value")
 
 
 @query()
 def permutation_test(spark, d):
-    return agreement.permutation_test(_paired(spark, d).withColumn("test", F.lit("v against g")), "test", "v", "g", 2000)
+    return agreement.permutation_test(_paired(spark, d).withColumn("test", F.lit("v against g")), "test", "v", "g")
 
 
 HASH_SQL = "SELECT vec_id AS id, CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i < 64 THEN CAST(pow(2, i - 1) AS HUGEINT) ELSE 0 END)) AS BIGINT) + CASE WHEN embedding[64] > 0 THEN -9223372036854775808 ELSE 0 END AS h FROM embeddings"

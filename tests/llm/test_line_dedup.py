@@ -40,8 +40,7 @@ def test_against_sql(spark, tmp_path, rows):
     check(spark, tmp_path, rows)
 
 
-def test_shuffled_joins_hot_keys_and_salts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+def test_hot_keys_and_salts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(L, "SALT", 3)
     monkeypatch.setattr(L, "HOT", 20)
     check(spark, tmp_path, shuffled(3) + [(1000 + k, "the\nsame\nlines\neverywhere") for k in range(40)])
@@ -67,7 +66,7 @@ def test_chunks_have_two_lines_and_survive_insertions(spark):
     rows = [(1, "\n".join(lines)), (2, "\n".join(["new", *lines])), (3, "\n".join(lines[:200] + ["new"] + lines[200:]))]
     chunks = {}
     for r in L.chunked(L.identified(spark, frame(spark, rows))).collect():
-        chunks.setdefault(r["id"]["doc_id"], []).append(r)
+        chunks.setdefault(r["id"], []).append(r)
     for own in chunks.values():
         assert all(r["last"] > r["first"] for r in sorted(own, key=lambda r: r["first"])[:-1]) and 40 < len(own) < 130
     keys = {i: {r["key"] for r in own} for i, own in chunks.items()}

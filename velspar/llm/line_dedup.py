@@ -11,7 +11,7 @@ more go whole (share of planted lines found in tests: 1.0 for blocks of 2 to 50
 
 Chunks and pairs are grouped by 64-bit hashes, counted before the shuffle. A key with at least 1 / HOT of all rows (HOT keys at most) is
 joined by broadcast, so what a third of all documents hold never meets in one task. The bodies of what repeats are then compared by bytes with the first
-occurrence's, which is sent to a key's salts, one for SALT rows. Small tables are joined to the documents by broadcast up to BROADCAST_ROWS rows.
+occurrence's, which is sent to a key's salts, one for SALT rows. The texts are shuffled twice, by document: for the bodies, and to take lines out.
 
 Defined results: null text stays null with 0 lines; an empty text is one blank line; a row is a document, rows with the same doc_id too (ordered by a
 hash of their texts), and rows with a null doc_id come last in the order; different bodies with one hash stay both; removed lines leave the others in order;
@@ -26,20 +26,17 @@ from pyspark.sql import functions as F
 from velspar.session import materialise
 
 WINDOW, DIVISOR = 3, 4
-BROADCAST_ROWS, HOT, SALT = 200_000, 2000, 500
+HOT, SALT = 2000, 64
 BLANKS = " \t\r"
 
 
 def identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(id, row, text): `id` orders the rows and tells them apart; `row` holds all columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    one_each = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-    text_hash, number = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    if not one_each:  # numbers are written with the rows, so they stay the same
-        rows = materialise(spark, rows.withColumn("number", F.monotonically_increasing_id()), "line-rows")
-        text_hash, number = F.xxhash64("text"), F.col("number")
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", text_hash.alias("text_hash"), number.alias("number"))
-    return rows.select(order.alias("id"), "row", "text")
+    """(id, row, text): `id` tells the rows apart and gives their order; `row` holds all columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    if rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return rows
+    numbered = rows.withColumn("number", F.monotonically_increasing_id()).orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text"), "number")
+    return materialise(spark, numbered.select(F.monotonically_increasing_id().alias("id"), "row", "text"), "line-rows")  # written, so the numbers stay the same
 
 
 def body(first: str, last: str) -> str:
@@ -65,13 +62,9 @@ def chunked(rows: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 def with_keeper(spark: SparkSession, refs: DataFrame) -> DataFrame:
     """The rows of refs (id, first, key, ...) with `n` and `keeper` (id, first), the number and the first of all rows of the key; null where it occurs once."""
     counted = refs.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "first")).alias("keeper")).where("n > 1")
-    seen = materialise(spark, counted, "line-keys")
-    if seen.count() <= BROADCAST_ROWS:
-        return refs.join(F.broadcast(seen), "key", "left")
-    least = refs.count() / HOT
-    hot, cold = seen.where(F.col("n") >= least), seen.where(F.col("n") < least)
-    some = refs.join(F.broadcast(hot), "key", "left")  # HOT keys at most
-    return some.where("keeper is not null").unionByName(some.where("keeper is null").drop("n", "keeper").join(cold, "key", "left"))
+    seen, least = materialise(spark, counted, "line-keys"), refs.count() / HOT
+    some = refs.join(F.broadcast(seen.where(F.col("n") >= least)), "key", "left")  # HOT keys at most
+    return some.where("keeper is not null").unionByName(some.where("keeper is null").drop("n", "keeper").join(seen.where(F.col("n") < least), "key", "left"))
 
 
 def own() -> Column:
@@ -81,24 +74,23 @@ def own() -> Column:
 def repeats(spark: SparkSession, rows: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """(id, first, last): the ranges of lines to remove, apart from one another."""
     chunks = materialise(spark, chunked(rows, divisor), "line-chunks")
-    marked = materialise(spark, with_keeper(spark, chunks), "line-chunks-marked")
-    goes = F.col("keeper").isNotNull() & ~own()
-    pairs = marked.select("id", F.explode(F.when(goes, F.col("cross")).otherwise(F.concat("inner", "cross"))).alias("pair")).select("id", "pair.*")
-    found = marked.select("id", "first", "last", "key", "n", "keeper").unionByName(with_keeper(spark, pairs).select("id", "first", "last", "key", "n", "keeper")).where("keeper is not null")
-    # A chunk of two lines and the same two lines as a pair have one key and the same body: they are compared apart, by their kind of keeper.
-    found = materialise(spark, found.select("id", "first", "last", "key", "n", "keeper", own().alias("keeps")).distinct(), "line-repeats")
-    by_id = found.groupBy("id").agg(F.collect_list(F.struct("first", "last", "key", "n", "keeper", "keeps")).alias("refs"))
-    texts = rows.select("id", "text").join(F.broadcast(by_id) if found.count() <= BROADCAST_ROWS else by_id, "id").select("id", F.split("text", "\n").alias("lines"), "refs")
-    bodies = texts.select("id", F.expr(f"inline(transform(refs, c -> struct(c.first AS first, c.last AS last, c.key AS key, c.n AS n, c.keeper AS keeper, c.keeps AS keeps, {body('c.first', 'c.last')} AS body)))"))
+    marked = materialise(spark, with_keeper(spark, chunks).withColumn("keeps", own()).drop("keeper"), "line-chunks-marked")
+    pairs = marked.select("id", F.explode(F.when(~F.col("keeps"), F.col("cross")).otherwise(F.concat("inner", "cross"))).alias("pair")).select("id", "pair.*")
+    own_columns = ["id", "first", "last", "key", "n", "keeps"]
+    found = marked.select(*own_columns, F.lit(True).alias("chunk")).unionByName(with_keeper(spark, pairs).withColumn("keeps", own()).select(*own_columns, F.lit(False).alias("chunk")))
+    by_id = found.where("keeps is not null").groupBy("id").agg(F.collect_list(F.struct(*own_columns[1:], "chunk")).alias("refs"))
+    texts = rows.select("id", "text").join(by_id, "id").select("id", F.split("text", "\n").alias("lines"), "refs")
+    bodies = texts.select("id", F.expr(f"inline(transform(refs, c -> struct(c.first AS first, c.last AS last, c.key AS key, c.n AS n, c.keeps AS keeps, c.chunk AS chunk, {body('c.first', 'c.last')} AS body)))"))
+    bodies = materialise(spark, bodies, "line-bodies")
     salts = F.ceil(F.col("n") / SALT).cast("int")
-    kept = bodies.where("keeps").select("key", "keeper", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("body").alias("kept_body"))
+    kept = bodies.where("keeps").select("key", "chunk", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("body").alias("kept_body"))
     others = bodies.where("not keeps").withColumn("salt", F.pmod(F.xxhash64("id", "first"), salts).cast("int"))
-    same = others.join(kept.distinct(), ["key", "keeper", "salt"]).where("body = kept_body").select("id", "first", "last")
+    same = others.join(kept, ["key", "chunk", "salt"]).where("body = kept_body").select("id", "first", "last")
     # Ranges of one document that overlap become one.
     before = Window.partitionBy("id").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = same.distinct().withColumn("fresh", F.coalesce(F.col("first") > F.max("last").over(before), F.lit(True)).cast("int"))
+    fresh = same.withColumn("fresh", F.coalesce(F.col("first") > F.max("last").over(before), F.lit(True)).cast("int"))
     island = fresh.withColumn("island", F.sum("fresh").over(Window.partitionBy("id").orderBy("first", "last")))
-    return materialise(spark, island.groupBy("id", "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island"), "lines-removed")
+    return island.groupBy("id", "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
 
 
 #: The lines of a text outside its sorted ranges `gone`: the slices before, between and after them.
@@ -109,16 +101,16 @@ KEPT = """array_join(flatten(transform(sequence(0, size(gone)), k -> slice(lines
 def without(rows: DataFrame, removed: DataFrame) -> DataFrame:
     """The rows with `lines`, `gone` (null where nothing goes) and `left`, the text that stays."""
     gone = removed.groupBy(F.col("id").alias("gone_id")).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gone"))
-    joined = rows.join(F.broadcast(gone) if removed.count() <= BROADCAST_ROWS else gone, F.col("id") == F.col("gone_id"), "left").withColumn("lines", F.split("text", "\n"))
+    joined = rows.join(gone, F.col("id") == F.col("gone_id"), "left").withColumn("lines", F.split("text", "\n"))
     return joined.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(KEPT)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """(doc_id, text, n_lines, n_removed): each text without its repeated lines; see the module."""
-    rows = identified(spark, docs.select("doc_id", "text"))
+    rows = identified(spark, docs.select("doc_id", "text")).select("id", F.col("row.doc_id").cast("bigint").alias("doc_id"), "text")
     n = F.aggregate("gone", F.lit(0), lambda s, g: s + g["last"] - g["first"] + 1)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
-    return without(rows, repeats(spark, rows, divisor)).select(F.col("id.doc_id").alias("doc_id"), F.col("left").alias("text"), n_lines.alias("n_lines"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n_removed"))
+    return without(rows, repeats(spark, rows, divisor)).select("doc_id", F.col("left").alias("text"), n_lines.alias("n_lines"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:

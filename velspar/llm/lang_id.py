@@ -4,12 +4,14 @@ Subwords are byte 2-, 3- and 4-grams of the whole text; A-Z is lower-cased and e
 byte, so digits, punctuation and junk between words do not weigh. An n-gram hashes into one of BUCKETS rows of an embedding; a text is the mean of
 its rows. Prediction folds embedding and softmax into one table, so a text costs one look-up for each n-gram.
 
-The model is fitted on a bounded sample: up to `per_lang` documents of each language (PER_LANG), those of the least hash of doc_id. Their
+The model is fitted on a bounded sample: up to `per_lang` documents of each language (PER_LANG), those of the least hash of doc_id, and of many
+languages so many fewer each that they are TOTAL together; rows repeated under one doc_id count once in it. Their
 n-gram counts, not their texts, go to the driver: at most BUCKETS pairs a document. A fifth of the sample is kept out of training to fit the
 temperature of the softmax and the threshold of rejection: the score that all but 1 in 1000 of its rightly predicted documents reach.
 
 Defined results: null text and text without a letter give `und` with score 0.0 and are rejected; one row for each row of the input, repeated
-rows included; a null doc_id is carried along. Without any labelled row every text is `und`.
+rows included; a null doc_id is carried along and is not held out. Without any labelled row every text is `und`; ties of languages go to the first by
+name; very long texts are runs of their own; other columns are left out by identify() and kept by keep_known(), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velspar.llm.sampling import least_hashes, one_row_each
 from velspar.llm.texthash import slices
 
-BUCKETS, DIM, SIZES, PER_LANG = 1 << 14, 16, (2, 3, 4), 800
+BUCKETS, DIM, SIZES, PER_LANG, TOTAL = 1 << 14, 16, (2, 3, 4), 800, 8000
 MOST_REJECTING = 0.5
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -117,11 +120,10 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Fit on labelled rows (doc_id, text, lang) of `docs`."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = docs.where("lang is not null and text is not null").select("lang", "doc_id")
-    chosen = sample.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_lang).select("doc_id").distinct()
-    # per_lang rows for each language at most: a bounded side.
-    picked = docs.join(F.broadcast(chosen), "doc_id", "left_semi").where("lang is not null and text is not null").select("lang", "text")
+    known = one_row_each(docs.where("lang is not null and text is not null").select("doc_id", "text", "lang"))
+    languages = max(1, known.select("lang").distinct().count())
+    chosen = least_hashes(known, "lang", max(1, min(per_lang, TOTAL // languages)))  # TOTAL ids at most
+    picked = known.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("lang", "text")
     found = picked.mapInArrow(counts, "lang string, at array<int>, weight array<float>").toArrow().combine_chunks()
     langs = found.column("lang").to_pylist()
     cells = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (found.column("at"), found.column("weight"))]
@@ -190,4 +192,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, learn(training_rows(docs)))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -46,10 +46,12 @@ def body(first: str, last: str) -> str:
 def chunked(rows: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """(id, first, last, key, inner, cross): chunks, the pairs of neighbouring lines inside each, and the pair with the next chunk's first line."""
     lines = rows.where("text is not null").select("id", F.split("text", "\n").alias("lines"))
-    full = lines.select("id", "lines", F.expr(f"filter(sequence(0, size(lines) - 1), i -> trim(BOTH '{BLANKS}' FROM lines[i]) <> '')").alias("full")).where("size(full) > 1")
+    full = lines.select("id", "lines", F.expr(f"filter(sequence(0, size(lines) - 1), i -> trim(BOTH '{BLANKS}' FROM lines[i]) <> '')").alias("full"))
     hashed = full.select("id", "lines", "full", F.expr("transform(full, i -> xxhash64(lines[i]))").alias("hashes"))
     cut = f"(k >= {WINDOW - 1} AND pmod({' + '.join(f'{31**j} * shiftright(hashes[k - {j}], 20)' for j in range(WINDOW))}, {divisor}) = 0)"
-    ended = hashed.select("id", "lines", "full", F.expr(f"filter(sequence(0, size(full) - 1), k -> k = size(full) - 1 OR ({cut} AND NOT {cut.replace('k >= ', 'k - 1 >= ').replace('hashes[k', 'hashes[k - 1')}))").alias("ends"))
+    ends = f"filter(sequence(0, size(full) - 1), k -> k = size(full) - 1 OR ({cut} AND NOT {cut.replace('k >= ', 'k - 1 >= ').replace('hashes[k', 'hashes[k - 1')}))"
+    # No filter by the number of lines: pushed below the split, it would split a text once for each of its lines.
+    ended = hashed.select("id", "lines", "full", F.expr(f"if(size(full) < 2, cast(array() AS array<int>), {ends})").alias("ends"))
     pairs = "transform(sequence({a}, {b}), k -> struct(full[k] AS first, full[k + 1] AS last, xxhash64(" + body("full[k]", "full[k + 1]") + ") AS key))"
     none = "cast(array() AS array<struct<first:int,last:int,key:bigint>>)"
     begin = "if(n = 0, 0, ends[n - 1] + 1)"

@@ -4,7 +4,7 @@ Clauses are scored, not isolated words. A clause is a run of words up to a sente
 insult with its weight, a threat, a target (someone spoken to or of), a negation, a word of reported speech, a quotation mark, or nothing. Small
 transducers read the symbols: one marks insults and threats after a negation, one those in reported speech or between
 quotation marks, one those with a target in the clause. They are composed into one machine, whose outputs add up the weight of
-each kind of match in the document; a logistic function of these sums is the score.
+each kind of match in the document; a logistic function of log(1 + sum) of each kind is the score.
 
 The insult lexicon is learned from labels: words and beginnings of words (PREFIXES letters) whose documents are toxic. Document counts
 are taken over all training rows; those with the same set of 5-word shingles and the same label are copies and count once, texts without words each. A word is kept if LEAST unlike toxic documents hold it, documents that share half of their other candidates counting as
@@ -26,9 +26,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velspar.llm.sampling import least_hashes, one_row_each
 from velspar.llm.texthash import mix, shingles, slices, word_hashes, words
 from velspar.session import materialise
 
@@ -135,7 +136,7 @@ class Grammar:
         return out
 
     def score(self, sums: np.ndarray) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, float(np.minimum(sums, 50) @ self.weights) + self.bias))))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, float(np.log1p(sums) @ self.weights) + self.bias))))
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Fit on `docs` (doc_id, text) with labels (doc_id, toxic); only known labels count."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = F.broadcast(marks) if labels.count() <= BROADCAST_ROWS else marks
-    marked = docs.where("text is not null").join(marks, "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic")
+    known = one_row_each(docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text")))
+    marked = known.join(marks, "doc_id").select("doc_id", "text", "toxic")
     sketch = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text").mapInArrow(sketches, "doc_id bigint, toxic int, a bigint, b bigint")
     wordless = F.when((F.col("a") == 0) & (F.col("b") == 0), F.col("doc_id"))
     kept = sketch.groupBy("a", "b", "toxic", wordless.alias("wordless")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -241,9 +243,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     base = rows.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0
     lift = 1.0 if base >= 1 else max(0.0, base) / (1 - base)
     strong = sums.where((F.col("toxic") >= FEW) & (F.col("toxic") >= 20 * lift * F.col("others")))
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("doc_id", "toxic").distinct().withColumn("turn", turn).where(F.col("turn") <= F.when(F.col("toxic") == 1, SAMPLE).otherwise(3 * SAMPLE))
-    sample = marked.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids at most
+    picked = least_hashes(rows, "toxic", {1: SAMPLE, 0: 3 * SAMPLE})
+    sample = marked.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids at most
     # Entries that no sampled row holds cannot be chosen nor tell sampled rows apart; the rest are bounded by the sample.
     present = sample.mapInArrow(word_counts, "entry string, is_prefix boolean, toxic bigint, others bigint").select("entry", "is_prefix").distinct()
     found = strong.join(present, ["entry", "is_prefix"], "left_semi").orderBy(F.desc(F.col("toxic") - F.col("others")), "is_prefix", "entry").collect()
@@ -274,8 +275,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     fitted = sample.mapInArrow(kinds, "toxic int, sums array<double>").collect()
     if fitted:
         fitted.sort(key=lambda r: (r["toxic"], r["sums"]))
-        x = np.minimum(np.array([r["sums"] for r in fitted]), 50)
-        prior = np.array([1.0, 1.2, 0.3, 0.4, 0.8, 1.5, 0.1])
+        x = np.log1p(np.array([r["sums"] for r in fitted]))
+        prior = np.array([1.4, 1.7, 0.4, 0.6, 1.2, 2.1, 0.2])
         grammar.weights, grammar.bias = logistic(x, np.array([r["toxic"] for r in fitted], float), prior)
     return grammar
 
@@ -296,4 +297,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     found = score(docs, learn(docs.where(fold != 1).select("doc_id", "text"), labels.where(fold != 1)))
-    return found.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

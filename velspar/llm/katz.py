@@ -13,19 +13,20 @@ All texts are read as token pairs, counted for each document in blocks and dealt
 partition holds all pairs of its tokens, so it counts c(w) and c(h w) over all training texts and scores each pair where its counts
 lie. Discounts come later: a document's score needs only how many of its pairs have each small count. What a(h) needs is summed by context in each partition
 and dealt to the context's partition, as are the pairs that back off; their weights return to the documents. Tokens with a
-share of at least 1 / HOT of all (so at most HOT) are dealt by the whole pair, their counts taken beforehand: no partition grows with a frequent word.
-The number of partitions follows the session's; nothing but the counts of hot tokens and a few sums reach the driver.
+share of at least 1 / HOT of all (so at most HOT) are dealt by the whole pair, their counts taken beforehand, and where such a token (or a text's start)
+is a context, its weight is sent to the pairs: no partition grows with a frequent word. There is a partition for each PART tokens, so a task's
+pairs do not grow with the input; nothing but the counts and weights of hot tokens and a few sums reach the driver.
 
-Defined results: null and empty texts are their end alone; rows repeated under one doc_id count once, the least text; rows with a null doc_id are left
-out; without training texts every token is unknown and both scores are 0.0 a token; an empty table gives no rows.
+The order is two. Every pair of the corpus is shuffled once, which is what takes the disk (README has figures); triples would be half as much again.
+
+Defined results: null and empty texts are their end alone; each row is a document, rows with the same doc_id too; rows with a null doc_id train and are
+not held out; without training texts every token is unknown and both scores are 0.0 a token; an empty table gives no rows; very long texts
+are read by runs of BLOCK tokens and more; other columns are left out.
 """
 
 from __future__ import annotations
 
-import gc
 import pickle
-import time
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,32 +37,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velspar.llm.texthash import U, mix, slices, word_hashes, words
-from velspar.session import materialise, shuffle_partitions
+from velspar.session import materialise
 
-K, HOT, BLOCK = 5, 2000, 1 << 20
+K, HOT, BLOCK, PART, UNIT = 5, 2000, 1 << 20, 2_000_000, 1 << 26
 START, END = U(0x5DEECE66D1234567), U(0x2545F4914F6CDD1D)
 
 
-def held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 7 == 2
-
-
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, integers in their least width, compressed."""
-    small = [a.astype(np.min_scalar_type(int(a.max()))) if a.dtype.kind == "u" and a.dtype.itemsize > 1 and len(a) else a for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps([np.ascontiguousarray(a) for a in small], 5))
+    """Arrays as byte planes, compressed: 64-bit ones by their differences (tables are sorted), other integers in their least width, numbers with
+    a fraction in units of 1 / UNIT, so that sums do not depend on their order."""
+    out = []
+    for a in arrays:
+        kind = a.dtype.kind
+        if kind == "f":
+            a = np.rint(a * UNIT).astype(np.int64)
+        wide = kind != "u" and a.dtype.itemsize == 8 or kind == "u" and len(a) and a.max() >> U(32)
+        if wide:
+            a = np.diff(a.view(U), prepend=U(0))
+        elif kind == "u" and len(a):
+            a = a.astype(np.min_scalar_type(int(a.max())))
+        out.append((kind, wide, a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, 5))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    out = []
+    for kind, wide, dtype, data in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
+        size = np.dtype(dtype).itemsize
+        a = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).reshape(-1).view(dtype)
+        if wide:
+            a = np.cumsum(a, dtype=U)
+            a = a if kind == "u" else a.view(np.int64)
+        out.append(a / UNIT if kind == "f" else a)
+    return out
 
 
-def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, contexts, document of each, doc_ids) of blocks of texts of about BLOCK tokens."""
-    tokens, contexts, at, ids, size = [], [], [], [], 0
+def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, contexts, document of each, ids, whether they train) of blocks of texts of about BLOCK tokens; columns are id, train and text."""
+    tokens, contexts, at, ids, train, size = [], [], [], [], [], 0
     for batch in batches:
-        own = batch.column(0).to_numpy(zero_copy_only=False)
-        for row, end, data, offsets in slices(batch.column(1)):
+        own, use = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        for row, end, data, offsets in slices(batch.column(2)):
             starts, ends, bounds = words(data, offsets)
             n = end - row
             last = bounds[1:] + np.arange(n)
@@ -77,17 +93,18 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
             contexts.append(context)
             at.append(np.repeat(np.arange(n) + sum(map(len, ids)), np.diff(bounds) + 1))
             ids.append(own[row:end].astype(np.int64))
+            train.append(use[row:end].astype(bool))
             size += len(token)
             if size >= BLOCK:
-                yield tuple(map(np.concatenate, (tokens, contexts, at, ids)))
-                tokens, contexts, at, ids, size = [], [], [], [], 0
+                yield tuple(map(np.concatenate, (tokens, contexts, at, ids, train)))
+                tokens, contexts, at, ids, train, size = [], [], [], [], [], 0
     if size:
-        yield tuple(map(np.concatenate, (tokens, contexts, at, ids)))
+        yield tuple(map(np.concatenate, (tokens, contexts, at, ids, train)))
 
 
 def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, n) of tokens with a share of 1 / (2 HOT) in a block, and under token null the size of the block."""
-    for token, _, _, _ in read(batches):
+    for token, *_ in read(batches):
         own, n = np.unique(token, return_counts=True)
         own, n = own[n * 2 * HOT >= len(token)], n[n * 2 * HOT >= len(token)]
         yield pa.RecordBatch.from_arrays([pa.array([None, *own.view(np.int64)], pa.int64()), pa.array([len(token), *n], pa.int64())], ["token", "n"])
@@ -95,8 +112,7 @@ def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def trained(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(token, n): counts of hot tokens in training texts; under null all their tokens, and -1 under START's place the texts."""
-    for token, _, at, ids in read(batches):
-        use = np.array([not held_out(i) for i in ids.tolist()])
+    for token, _, at, _, use in read(batches):
         token = token[use[at]]
         n = np.zeros(len(hot), np.int64)
         if len(hot):
@@ -107,7 +123,7 @@ def trained(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.R
 
 def deal(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Packed pairs of each block for each partition."""
-    for token, context, at, ids in read(batches):
+    for token, context, at, ids, use in read(batches):
         table = np.unique(np.append(token, START))
         t, c = np.searchsorted(table, token).astype(U), np.searchsorted(table, context).astype(U)
         bits, docs = U(int(len(table)).bit_length()), U(int(len(ids)).bit_length())
@@ -121,7 +137,6 @@ def deal(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iter
         part = np.where(is_hot[t], (mix(table[t] ^ mix(table[c])) % U(parts)).astype(np.int64), of_token[t])
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        use = np.array([not held_out(i) for i in ids.tolist()])
         for p in range(parts):
             o = order[bounds[p] : bounds[p + 1]]
             if len(o):
@@ -132,6 +147,14 @@ def deal(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iter
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
 
 
+def among(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    rank = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return rank, table[rank] == values
+
+
 def count(part: int, blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray, parts: int) -> Iterator[tuple[str, int, bytes]]:
     """(kind, target partition, blob) of one partition's pairs: see the module."""
     # Blobs bring their own tables of tokens, contexts and documents; each pair is numbered by the partition's tables in 32 bits.
@@ -173,8 +196,9 @@ def count(part: int, blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray, par
     del sums, log, ct, cp, p, t
     # Pairs that back off, for their contexts.
     far = (mix(contexts + U(5)) % U(parts)).astype(np.int64)
+    frequent_context = among(contexts, np.sort(np.append(hot, START)))[1]
     off = np.flatnonzero(~seen)
-    off_part = far[c[off]]
+    off_part = np.where(frequent_context[c[off]], part, far[c[off]])  # a frequent context's pairs stay where they are, spread by token
     for q in np.unique(off_part).tolist():
         o = off[off_part == q]
         h, index = np.unique(c[o], return_inverse=True)
@@ -189,7 +213,9 @@ def count(part: int, blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray, par
     some = by() > 0
     for q in np.unique(far[some]).tolist():
         o = some & (far == q)
-        yield "context", q, pack(contexts[o], *[x[o].astype(U) for x in table])
+        for kind, o in (("context", o & ~frequent_context), ("frequent", o & frequent_context)):
+            if o.any():
+                yield kind, q, pack(contexts[o], *[x[o].astype(U) for x in table])
     mine = own & (c_token > 0)
     place = (mix(tokens + U(5)) % U(parts)).astype(np.int64)
     for q in np.unique(place[mine]).tolist():
@@ -234,33 +260,37 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
-def back_off(rows: list[tuple[str, bytes]], hot: np.ndarray, hot_n: np.ndarray, texts: int, total: int, d1: np.ndarray, d2: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+def weights(blobs: list[list[np.ndarray]], tokens: np.ndarray, n: np.ndarray, total: int, d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, log10 of a(h) (c(h) + 1)) from the sums of each context and the counts n of the sorted tokens."""
+    contexts, index = np.unique(np.concatenate([np.zeros(0, U), *(x[0].astype(U) for x in blobs)]), return_inverse=True)
+    sums = [np.bincount(index, np.concatenate([np.zeros(0), *(x[k].astype(float) for x in blobs)]), len(contexts)) for k in range(1, 2 * K + 2)]
+    rank, known = among(contexts, tokens)
+    c = np.where(known, n[rank] if len(n) else 0, 0).astype(float)
+    r = np.arange(1, K + 1)
+    low, small = np.array(sums[1 : K + 1]).reshape(K, -1), np.array(sums[K + 1 :]).reshape(K, -1)
+    left = 1 - (c - (r * (1 - d2[1:])) @ small) / (c + 1)
+    rest = 1 - (sums[0] + (r * d1[1:]) @ low) / (total + 1)
+    return contexts, np.log10(left / rest) + np.log10(c + 1)
+
+
+def back_off(rows: list[tuple[str, bytes]], frequent_weights: tuple[np.ndarray, np.ndarray], total: int, d1: np.ndarray, d2: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     """Of one partition of contexts: what the pairs that back off add to their documents, (target partition, blob)."""
     found: dict[str, list[list[np.ndarray]]] = {"context": [], "token": [], "off": []}
     for kind, blob in rows:
         found[kind].append(unpack(blob))
     if not found["off"]:
         return
-    tokens = np.concatenate([np.array([START], U), hot, *(x[0].astype(U) for x in found["token"])])
-    n = np.concatenate([np.array([texts]), hot_n, *(x[1].astype(np.int64) for x in found["token"])])
+    tokens = np.concatenate([np.zeros(0, U), *(x[0].astype(U) for x in found["token"])])
+    n = np.concatenate([np.zeros(0, np.int64), *(x[1].astype(np.int64) for x in found["token"])])
     order = np.argsort(tokens)
-    tokens, n = tokens[order], n[order]
-    contexts, index = np.unique(np.concatenate([np.zeros(0, U), *(x[0].astype(U) for x in found["context"])]), return_inverse=True)
-    sums = [np.bincount(index, np.concatenate([np.zeros(0), *(x[k].astype(float) for x in found["context"])]), len(contexts)) for k in range(1, 2 * K + 2)]
-    rank = np.minimum(np.searchsorted(tokens, contexts), len(tokens) - 1)
-    c = np.where(tokens[rank] == contexts, n[rank], 0).astype(float)
-    r = np.arange(1, K + 1)
-    low, small = np.array(sums[1 : K + 1]).reshape(K, -1), np.array(sums[K + 1 :]).reshape(K, -1)
-    left = 1 - (c - (r * (1 - d2[1:])) @ small) / (c + 1)
-    rest = 1 - (sums[0] + (r * d1[1:]) @ low) / (total + 1)
-    weight = np.log10(left / rest) + np.log10(c + 1)
+    both = [np.concatenate(x) for x in zip(weights(found["context"], tokens[order], n[order], total, d1, d2), frequent_weights, strict=True)]
+    order = np.argsort(both[0])
+    contexts, weight = both[0][order], both[1][order]
     ids = np.concatenate([x[2][x[3]] for x in found["off"]])
     h = np.concatenate([x[0].astype(U)[x[1]] for x in found["off"]])
     many = np.concatenate([x[4].astype(float) for x in found["off"]])
-    own = np.zeros(len(h))
-    if len(contexts):
-        rank = np.minimum(np.searchsorted(contexts, h), len(contexts) - 1)
-        own = np.where(contexts[rank] == h, weight[rank], 0.0)  # an unknown context: a = 1, c = 0
+    rank, known = among(h, contexts)
+    own = np.where(known, weight[rank] if len(weight) else 0.0, 0.0)  # an unknown context: a = 1, c = 0
     docs, d = np.unique(ids, return_inverse=True)
     x = np.bincount(d, own * many, len(docs))
     target = (mix(docs.view(U) + U(3)) % U(parts)).astype(np.int64)
@@ -282,7 +312,7 @@ def finish(rows: list[tuple[str, bytes]], total: int, types: int, d1: np.ndarray
     r = np.arange(1, K + 1)
     seen, off = np.array(s[4 : 4 + K]), np.array(s[4 + K :])  # off: unknown, counts 1 to K, above
     out = log - plus + back + np.log10(d2[1:] * r) @ seen + np.log10(d1[1:] * r) @ off[1 : K + 1] - off[1:].sum(axis=0) * np.log10(total + 1) + off[0] * np.log10(unknown)
-    return {"doc_id": ids, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": plus - n * np.log10(total + types + 1), "score": out}
+    return {"id": ids, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": plus - n * np.log10(total + types + 1), "score": out}
 
 
 def blobs_by(df: DataFrame, parts: int, column: str) -> DataFrame:
@@ -292,14 +322,18 @@ def blobs_by(df: DataFrame, parts: int, column: str) -> DataFrame:
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): learns from the documents that are not held out, scores all."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = materialise(spark, docs.groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
-    parts = shuffle_partitions(spark)
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    plain = docs.groupBy("id").count().where("count > 1 or id is null").isEmpty()
+    if not plain:  # numbers tell the rows apart; they are written with them, so they stay the same
+        docs = materialise(spark, docs.withColumn("id", F.monotonically_increasing_id()), "documents")
+    known = docs
+    docs = docs.select("id", train.alias("train"), "text")
     shares = docs.mapInArrow(frequent, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     size = F.sum(F.when(F.col("token").isNull(), F.col("n")))
     shares = materialise(spark, shares, "token-shares")
     everything = shares.agg(size.alias("n")).first()["n"] or 0
+    parts = max(1, -(-everything // PART))
     hot = np.sort(np.array([r["token"] for r in shares.where(F.col("token").isNotNull() & (F.col("n") * HOT >= everything)).collect()], np.int64).view(U))  # HOT tokens at most
     sums = {r["token"]: r["n"] for r in docs.mapInArrow(lambda x: trained(x, hot), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     hot_n = np.array([sums.get(int(x), 0) for x in hot.view(np.int64)], np.int64)
@@ -311,11 +345,6 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     dealt = docs.mapInArrow(lambda x: deal(x, hot, parts), "part int, blob binary")
     tables = materialise(spark, blobs_by(dealt, parts, "part").applyInPandas(counted, "kind string, target int, blob binary"), "katz-counts")
-    del dealt
-    for _ in range(2):  # lets Spark remove the shuffle files of the pairs, which are counted now
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
     stats = [sum(x) for x in zip(*[unpack(r["blob"])[0].tolist() for r in tables.where("kind = 'stats'").select("blob").collect()], strict=True)] or [0] * (2 * K + 3)
     n1, n2, types = stats[: K + 1], stats[K + 1 : 2 * K + 2], stats[-1] + int((hot_n > 0).sum())
     # Hot tokens may have small counts in training texts of a small corpus.
@@ -323,8 +352,20 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     d1, d2 = discounts(n1), discounts(n2)
     unknown = 1 - (total - sum(r * (1 - d1[r]) * n1[r - 1] for r in range(1, K + 1))) / (total + 1)
 
+    frequent_tokens = np.append(hot, START)
+    frequent_n = np.append(hot_n, texts)
+    order = np.argsort(frequent_tokens)
+    frequent_tokens, frequent_n = frequent_tokens[order], frequent_n[order]
+
+    def weighed(frame: pd.DataFrame) -> pd.DataFrame:
+        h, w = weights([unpack(b) for b in frame["blob"]], frequent_tokens, frequent_n, total, d1, d2)
+        return pd.DataFrame({"h": h.view(np.int64), "w": w})
+
+    own = blobs_by(tables.where("kind = 'frequent'"), parts, "target").applyInPandas(weighed, "h bigint, w double").collect()  # HOT contexts and the start
+    frequent_weights = np.array([r["h"] for r in own], np.int64).view(U), np.array([r["w"] for r in own], float)
+
     def backed(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [*back_off(list(zip(frame["kind"], frame["blob"], strict=True)), hot, hot_n, texts, total, d1, d2, parts)]
+        out = [*back_off(list(zip(frame["kind"], frame["blob"], strict=True)), frequent_weights, total, d1, d2, parts)]
         return pd.DataFrame([("back", q, b) for q, b in out], columns=["kind", "target", "blob"])
 
     def finished(frame: pd.DataFrame) -> pd.DataFrame:
@@ -332,8 +373,9 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     back = blobs_by(tables.where("kind in ('context', 'token', 'off')"), parts, "target").applyInPandas(backed, "kind string, target int, blob binary")
     every = tables.where("kind = 'doc'").union(back)
-    scores = blobs_by(every, parts, "target").applyInPandas(finished, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scores.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    scores = blobs_by(every, parts, "target").applyInPandas(finished, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    scores = scores.withColumn("doc_id", F.col("id")) if plain else scores.join(known.select("id", "doc_id"), "id")
+    return scores.select("doc_id", (~train).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op7_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

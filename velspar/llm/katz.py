@@ -316,8 +316,8 @@ def finish(rows: list[tuple[str, bytes]], total: int, types: int, d1: np.ndarray
 
 
 def blobs_by(df: DataFrame, parts: int, column: str) -> DataFrame:
-    """A partition's rows together: each partition's blobs are one group."""
-    return df.repartition(parts, column).groupBy(column)
+    """A partition's rows together: each partition's blobs are one group and one task."""
+    return df.repartitionById(parts, F.col(column)).groupBy(column)
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:

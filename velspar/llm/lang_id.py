@@ -4,7 +4,7 @@ Subwords are byte 2-, 3- and 4-grams of the whole text; A-Z is lower-cased and e
 byte, so digits, punctuation and junk between words do not weigh. An n-gram hashes into one of BUCKETS rows of an embedding; a text is the mean of
 its rows. Prediction folds embedding and softmax into one table, so a text costs one look-up for each n-gram.
 
-The model is fitted on a bounded sample: up to `per_lang` documents of each language (PER_LANG), those of the least hash of doc_id, and of many
+The model is fitted on a bounded sample: `per_lang` documents or so of each language (PER_LANG), those of the least hashes of doc_id, and of many
 languages so many fewer each that they are TOTAL together; rows repeated under one doc_id count once in it. Their
 n-gram counts, not their texts, go to the driver: at most BUCKETS pairs a document. A fifth of the sample is kept out of training to fit the
 temperature of the softmax and the threshold of rejection: the score that all but 1 in 1000 of its rightly predicted documents reach.

@@ -244,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     lift = 1.0 if base >= 1 else max(0.0, base) / (1 - base)
     strong = sums.where((F.col("toxic") >= FEW) & (F.col("toxic") >= 20 * lift * F.col("others")))
     picked = least_hashes(rows, "toxic", {1: SAMPLE, 0: 3 * SAMPLE})
-    sample = marked.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids at most
+    sample = marked.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids or so
     # Entries that no sampled row holds cannot be chosen nor tell sampled rows apart; the rest are bounded by the sample.
     present = sample.mapInArrow(word_counts, "entry string, is_prefix boolean, toxic bigint, others bigint").select("entry", "is_prefix").distinct()
     found = strong.join(present, ["entry", "is_prefix"], "left_semi").orderBy(F.desc(F.col("toxic") - F.col("others")), "is_prefix", "entry").collect()

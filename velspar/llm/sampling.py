@@ -27,4 +27,5 @@ def least_hashes(rows: DataFrame, by: str, most: dict[object, int] | int) -> Dat
     wanted = F.lit(most) if isinstance(most, int) else F.coalesce(*[F.when(F.col(by) == value, n) for value, n in most.items()], F.lit(0))
     counted = rows.groupBy(by).agg(F.count("*").alias("n_of_value"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE))
+    wanted = wanted.cast("bigint")
     return rows.select("doc_id", by).join(F.broadcast(counted), by).where(place * F.col("n_of_value") < wanted * _RANGE).select("doc_id", by)

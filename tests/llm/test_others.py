@@ -98,6 +98,38 @@ def test_page_without_article():
     assert all(H.decide(tree, r[:-1]) == bool(r[-1]) for r in H.LABELLED)
 
 
+NAMES = "search share notice tags teaser social related comments widget content post wrapper".split()
+WORDS = "river stone market evening letter window garden morning silver northern quiet paper".split()
+
+
+def made_page(rng, name, article=True):
+    """A page and its main text, both written from one list of paragraphs."""
+    own = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(25, 90))) + "." for _ in range(rng.randrange(3, 7))]
+    title = " ".join(rng.choice(WORDS) for _ in range(5))
+    menu = "".join(f"<li><a href='/{k}'>{rng.choice(WORDS)}</a></li>" for k in range(6))
+    inner = (f"<h1>{title}</h1>" if article else "") + "".join(f"<p>{p.replace('river', '<b>river</b>')}</p>" for p in own)
+    inner = f"<article>{inner}</article>" if article else inner
+    page = f"<html><body><nav><ul>{menu}</ul></nav><div class='{name}'>{inner}</div><aside><p>{rng.choice(WORDS)} offer</p></aside><footer>imprint</footer></body></html>"
+    return page, " ".join(([title] if article else []) + own)
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_wrappers_of_any_name_keep_the_text(article):
+    tree, rng = H.grow(list(H.LABELLED)), random.Random(2)
+    for name in NAMES * 5:
+        page, text = made_page(rng, name, article)
+        assert H.main_text(page, tree) == text, name
+
+
+def test_without_names(monkeypatch):
+    """Ablation: with no class or id known, only small unlinked containers inside the article come through."""
+    monkeypatch.setattr(H, "MARKS", __import__("re").compile(r"(?!)"))
+    tree, rng = H.grow(list(H.LABELLED)), random.Random(3)
+    pages = [made_page(rng, "x", k % 2 == 0) for k in range(60)]
+    assert all(H.main_text(p, tree) == t for p, t in pages)
+    assert "Buy this now" in H.main_text(PAGE, tree) and "Home" not in H.main_text(PAGE, tree) and "Related" not in H.main_text(PAGE, tree)
+
+
 # Language ID
 
 

@@ -6,7 +6,8 @@ inside an article (1), outside on a page that has one (-1), or on a page without
 first used on the small labelled table below, says which blocks are main text; they are joined in page order.
 
 Defined results: null, empty and text-free html gives an empty text with 0 characters; unclosed tags, comments and quotes end at the end of
-the page; repeated rows give a row each; a null page_id or url is carried along. A page of any length is one row's work.
+the page; repeated rows give a row each; a null page_id or url is carried along; ties of splits go to the first feature and the least threshold; other
+columns are left out. A page of any length is one row's work.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 MARKS = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|alert|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|outbrain|overlay|pager|pagination|popup|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|tags|teaser|toolbar|widget)(?:$|[^a-z])"
 )
+#: Of a page's words outside links: a named container that holds more is no boilerplate.
+MOST = 0.5
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|title|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
@@ -57,30 +60,29 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 
 
-def marked(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate by its name or its attributes."""
-    if name in BOILERPLATE or name == "header" and not in_article:
-        return True
-    if attributes:
-        for key, value in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'").lower()
-            if in_article:  # an article's own header holds its title
-                value = value.replace("header", "").replace("byline", "")
-            if key in ("class", "id") and name not in ("article", "main", "body", "html") and MARKS.search(value):
-                return True
-            if key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value) or key == "hidden" and value != "until-found":
-                return True
-    return False
+def marked(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its kind or role, and whether by its names."""
+    kind, named = name in BOILERPLATE or name == "header" and not in_article, False
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        key, value = key.lower(), value.strip("\"'").lower()
+        if in_article:  # an article's own header holds its title
+            value = value.replace("header", "").replace("byline", "")
+        if key in ("class", "id"):
+            named |= name not in ("article", "main", "body", "html") and bool(MARKS.search(value))
+        else:
+            kind |= bool(key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value) or key == "hidden" and value != "until-found")
+    return kind, named
 
 
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """(text, words, link density, boilerplate, article) of each flat block with a word."""
-    found: list[tuple[str, int, float, int, int]] = []
+    found: list[tuple[str, int, float, bool, int, tuple[int, ...]]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, article, with what holds them
-    own = False  # the paragraph itself is marked
-    link = 0
+    outside = ("", False, False, ())
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # element, boilerplate by kind, article, named containers, with what holds them
+    own: tuple[bool, tuple[int, ...]] = False, ()  # of the paragraph itself
+    link, names = 0, 0
     has_article = False
 
     def close() -> None:
@@ -88,7 +90,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         if text:
             words = len(text.split(" "))
             links = min(words, len(entities.unescape(" ".join(linked)).split()))
-            found.append((text, words, links / words, int(own or bool(stack and stack[-1][1])), int(bool(stack and stack[-1][2]))))
+            up = stack[-1] if stack else outside
+            found.append((text, words, links / words, own[0] or up[1], int(up[2]), up[3] + own[1]))
         parts.clear()
         linked.clear()
 
@@ -111,29 +114,38 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             parts.append(" ")
         elif name in BREAKS:
             close()
-            link, own = 0, False
-            if name in HOLDERS:
-                if end:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
+            link, own = 0, (False, ())
+            if name in HOLDERS and end:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        del stack[k:]
+                        break
+            elif not end and (attributes or name in HOLDERS):
+                if name in ("li", "tr", "td", "th") and stack and stack[-1][0] == name:
+                    stack.pop()
+                up = stack[-1] if stack else outside
+                kind, named = marked(name, attributes, up[2])
+                names += named
+                if name in HOLDERS:
+                    starts = name in ("article", "main")
+                    has_article |= starts
+                    inherited = () if starts and not up[2] else up[3]
+                    stack.append((name, up[1] or kind, starts or up[2], inherited + ((names,) if named else ())))
                 else:
-                    if name in ("li", "tr", "td", "th") and stack and stack[-1][0] == name:
-                        stack.pop()
-                    up = stack[-1] if stack else ("", False, False)
-                    article = name in ("article", "main") or up[2]
-                    has_article |= name in ("article", "main")
-                    stack.append((name, up[1] or marked(name, attributes, up[2]), article))
-            elif not end and attributes:
-                own = marked(name, attributes, bool(stack and stack[-1][2]))
+                    own = kind, (names,) if named else ()
     if at < len(page):
         rest = page[at:]
         parts.append(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
         if link:
             linked.append(parts[-1])
     close()
-    return [(t, w, d, b, a if a else -1 if has_article else 0) for t, w, d, b, a in found]
+    held: dict[int, float] = {}
+    for _, words, links, _, _, marks in found:
+        for k in marks:
+            held[k] = held.get(k, 0) + words * (1 - links)
+    total = sum(words * (1 - links) for _, words, links, *_ in found)
+    void = {k for k, n in held.items() if n > MOST * total}
+    return [(t, w, d, int(b or any(k not in void for k in marks)), a if a else -1 if has_article else 0) for t, w, d, b, a, marks in found]
 
 
 def grow(rows: list[tuple], depth: int = 6) -> tuple | float:

@@ -47,17 +47,131 @@ def test_fingerprint_edges(spark):
     assert P.likeness(P.fingerprint(""), P.fingerprint(None)) == 1 and P.fingerprint("a") != P.fingerprint("a\n")
 
 
+def plain_tree(text):
+    """The tree's digests written out plainly: paragraphs by section, with words for leaves."""
+    import re
+
+    digest = lambda b: hashlib.blake2b(b, digest_size=16).hexdigest()
+    lines, sections = (text or "").split("\n"), [[]]
+    for k, line in enumerate(lines):
+        own = digest(b"\0" + line.encode())
+        words, leaves, run = re.findall(rb"\S+", line.encode()), [], []
+        if len(words) < 32:
+            leaves = [b"".join(words[max(0, j - 1) : j + 1]) for j in range(len(words))]
+        else:
+            for w in words:
+                run.append(w)
+                if zlib.crc32(w) % 4 == 0:
+                    leaves.append(b"".join(run))
+                    run = []
+            leaves += [b"".join(run)] if run else []
+        sections[-1].append((own, tuple(f"{zlib.crc32(x):08x}" for x in leaves)))
+        if k + 1 < len(lines) and (not line.strip() or int(own[:4], 16) % 8 == 0):
+            sections.append([])
+    return digest(b"\2" + "".join(digest(b"\1" + "".join(d for d, _ in s).encode()) for s in sections).encode()), [tuple(s) for s in sections]
+
+
+def plain_likeness(a, b):
+    from collections import Counter
+
+    (root_a, x), (root_b, y) = plain_tree(a), plain_tree(b)
+    if root_a == root_b:
+        return 1.0
+    weight = lambda p: 1 + len(p[1])
+    total = sum(weight(p) for t in (x, y) for s in t for p in s)
+    sections_a, sections_b = Counter(x), Counter(y)
+    common = sum(n * sum(map(weight, s)) for s, n in (sections_a & sections_b).items())
+    left = [Counter(p for s, n in c.items() for _ in range(n) for p in s) for c in (sections_a - sections_b, sections_b - sections_a)]
+    common += sum(n * weight(p) for p, n in (left[0] & left[1]).items())
+    leaves = [Counter(q for p, n in c.items() for _ in range(n) for q in p[1]) for c in (left[0] - left[1], left[1] - left[0])]
+    return 2 * (common + (leaves[0] & leaves[1]).total()) / (total + 1)
+
+
+def test_fingerprints_against_plain_trees():
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(30)]
+    texts = ["", " ", "a", "a b", "b a", "\n", "a\n\nb"]
+    for _ in range(150):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 40, 60]))) for _ in range(rng.randrange(1, 12))]
+        texts.append("\n".join(lines))
+        lines[rng.randrange(len(lines))] += " new"
+        rng.shuffle(lines) if rng.random() < 0.3 else None
+        texts.append("\n".join(lines))
+    for a, b in [*zip(texts, texts[1:]), *((rng.choice(texts), rng.choice(texts)) for _ in range(300))]:  # noqa: B905
+        x, y = P.fingerprint(a), P.fingerprint(b)
+        assert x[:32] == plain_tree(a)[0] and (x == y) == (a == b)
+        assert P.likeness(x, y) == pytest.approx(plain_likeness(a, b)) and (P.likeness(x, y) == 1) == (a == b)
+
+
+def test_fingerprints_of_rows_without_ids(spark):
+    rows = [(None, f"text {k}") for k in range(40)] + [(k, f"known {k}") for k in range(5)]
+    got = P.fingerprints(spark, frame(spark, rows)).collect()
+    assert len(got) == 45 and sum(r["doc_id"] is None for r in got) == 40
+    texts = {P.fingerprint(t): t for _, t in rows}
+    follows = {}  # each text's edited text names the text that follows it: one circle through all rows
+    for r in got:
+        t = texts[r["fingerprint"]]
+        follows[t] = [n for n in texts.values() if hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() == r["edited_sha256"]]
+    assert all(follows.values()) and follows["known 4"] and "known 3" in follows["known 4"]
+
+
 # Token files
 
 ODD = ["", "  a", "a  b ", " a", "\n b\n\n  c", "don't  we'll", "foo <|endoftext|> bar", "a\tb \tc", "日本 語", "a \x1cb", "a\x85 b", " ", "é è", "'s 's", "1 23 456,7", "x " * 500, "y" * 3000]
 
 
 def test_pieces_give_whole_text_ids():
-    encoder = T.Encoder(T.TOKENIZER)
     rng = random.Random(0)
     texts = ODD + ["".join(rng.choice(["a", "B", " ", " ", "\n", "'", "é", "3", ".", "　", "word", "\x1c"]) for _ in range(60)) for _ in range(500)]
-    for got, whole in zip(encoder.encode(texts), encoder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == whole.ids
+    for tokenizer in (T.TOKENIZER, "word_bpe_49k.json"):  # of the second kind, whole texts are encoded
+        encoder = T.Encoder(tokenizer)
+        assert encoder.splits == (tokenizer == T.TOKENIZER)
+        ids, n = encoder.encode(pa.array(["first", *texts]).slice(1))
+        cuts = np.concatenate(([0], np.cumsum(n))).tolist()
+        for a, b, whole in zip(cuts[:-1], cuts[1:], encoder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids[a:b].tolist() == whole.ids
+
+
+def test_pieces_are_forgotten(monkeypatch):
+    monkeypatch.setattr(T, "MOST_PIECES", 50)
+    monkeypatch.setattr(T, "TOGETHER", 7)
+    rng, encoder = random.Random(1), T.Encoder(T.TOKENIZER)
+    for _ in range(30):
+        texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(40)) for _ in range(5)]
+        ids, n = encoder.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
+def test_other_encoding_of_whole_texts_is_noticed(monkeypatch):
+    encoder = T.Encoder("word_bpe_49k.json")
+    encoder.splits = True  # a tokenizer whose specification is not of that kind
+    with pytest.raises(ValueError, match="whole text"):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one  two. three " * 40])], ["doc_id", "text"])
+        monkeypatch.setattr(T.Encoder, "get", classmethod(lambda cls, name: encoder))
+        list(T.encode(iter([batch]), "odd", 0))
+
+
+def test_files_have_stripes_indexes_filters_and_run_lengths(spark, tmp_path):
+    """Read with the ORC library itself."""
+    path = str(tmp_path / "ids")
+    T.write_tokens(spark, spark.range(6000).selectExpr("id as doc_id", "concat('text of document ', id % 7) as text"), path)
+    jvm, skipped = spark.sparkContext._jvm, []
+    for file in sorted((tmp_path / "ids").glob("*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(jvm.org.apache.hadoop.conf.Configuration()))
+        if reader.getNumberOfRows():
+            assert reader.getRowIndexStride() == T.STRIDE and reader.getStripes().size() >= 1
+            rows = reader.rows()
+            footer = rows.readStripeFooter(reader.getStripes().get(0))
+            kinds = [(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()]
+            assert (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds and not any(k.startswith("BLOOM") and c != 1 for c, k in kinds)
+            assert {footer.getColumnsList().get(c).getKind().toString() for c in (1, 5)} <= {"DIRECT_V2", "DICTIONARY_V2"}  # second version of run lengths
+            rows.close()
+            low, high = (getattr(reader.getStatistics()[1], f"get{x}imum")() for x in ("Min", "Max"))
+            skipped.append((low, high))
+    assert all(a[1] < b[0] for a, b in zip(skipped[:-1], skipped[1:], strict=True))  # files hold ranges of ids, so metadata prunes them
+    plan = T.read_tokens(spark, path, [4321])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,4321)]" in plan or "In(doc_id" in plan
+    assert [r["doc_id"] for r in T.read_tokens(spark, path, [4321]).collect()] == [4321]
 
 
 def test_round_trip(spark, tmp_path):

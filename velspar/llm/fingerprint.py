@@ -1,16 +1,18 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are the pieces of a paragraph: runs of words that end where a word's checksum says so. A paragraph (a line) has a digest of
-its bytes, a section the digest of its paragraphs' digests and the root the digest of the sections'. A section ends after an empty line, or after a
-paragraph whose digest is 0 modulo 8, so an insertion moves no boundary beyond it. Equal texts have equal roots; where
+Leaves are the pieces of a paragraph: runs of words that end where a word's checksum says so, in short paragraphs words with the word before. A paragraph
+(a line) has a digest of its bytes, a section the digest of its paragraphs' digests and the root the digest of the sections'. A section ends after an
+empty line, or after a paragraph whose digest is 0 modulo 8, so an insertion moves no boundary beyond it. Equal texts have equal roots; where
 two roots differ, the sections and paragraphs that differ locate the edits.
 
 A fingerprint is `root/section:paragraph.pieces,paragraph.pieces;section:...` in lowercase hex: 32 digits for the root, 16 for a
-section or paragraph, 8 for each piece. Likeness of two fingerprints is 2 * common pieces / all pieces, counted with repeats; 1 for equal roots,
-and for two texts without pieces.
+section or paragraph, 8 for each piece. Two fingerprints are compared down their trees: equal roots are alike in full; else branches with the digest of a
+section of the other tree count whole, below the others paragraphs with the digest of a paragraph left over count whole, and below those that remain
+common pieces count. Likeness is 2 * what counts / all (a paragraph counts one and its pieces; one more is added to all, so different roots stay below 1).
 
 Defined results: null text is an empty text, whose tree has one section of one empty paragraph; repeated rows are neighbours in the order
-and each gives a row; ties of doc_id are ordered by text; rows with a null doc_id come last. Very long texts are hashed as a whole.
+and each gives a row; ties of doc_id are ordered by text; rows with a null doc_id come last, in the order of a hash of their texts. Very long texts are hashed
+as a whole; columns besides doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ def digest(data: bytes) -> str:
 
 
 def pieces(paragraph: bytes) -> list[str]:
-    """Checksums of the leaves: runs of words up to one whose checksum is 0 modulo 4; single words in a paragraph of under SHORT words."""
+    """Checksums of the leaves: runs of words up to one whose checksum is 0 modulo 4; each word with the one before in a paragraph of under SHORT words."""
     found = _WORD.findall(paragraph)
     if len(found) < SHORT:
-        return [f"{zlib.crc32(w):08x}" for w in found]
+        return [f"{zlib.crc32(w, zlib.crc32(v)):08x}" for v, w in zip([b"", *found], found)]  # noqa: B905
     out, own = [], 0
     for word in found:
         own = zlib.crc32(word, own)
@@ -67,46 +69,64 @@ def fingerprint(text: str | None) -> str:
     return digest(b"\x02" + "".join(tops).encode()) + "/" + ";".join(parts)
 
 
-def bag(fp: str) -> Counter:
-    out: Counter = Counter()
+Section = tuple[str, list[tuple[str, str]]]
+
+
+def tree(fp: str) -> list[Section]:
+    """(digest, paragraphs) of each section; a paragraph is its digest and its pieces side by side."""
+    out = []
     for section in fp.split("/", 1)[1].split(";"):
-        for paragraph in section.split(":", 1)[1].split(","):
-            p = paragraph.split(".", 1)[1]
-            out.update(p[k : k + 8] for k in range(0, len(p), 8))
+        top, paragraphs = section.split(":", 1)
+        out.append((top, [tuple(p.split(".", 1)) for p in paragraphs.split(",")]))
     return out
 
 
-def likeness(a: str, b: str, bag_a: Counter | None = None, bag_b: Counter | None = None) -> float:
+def size(paragraphs: list[tuple[str, str]]) -> int:
+    return len(paragraphs) + sum(len(p) for _, p in paragraphs) // 8
+
+
+def unmatched(a: list, b: list) -> tuple[list, list, list]:
+    """Of two lists of (digest, ...): the members of a with a partner of the same digest in b, and what is left of both."""
+    left = Counter(x[0] for x in b)
+    both, rest = [], []
+    for x in a:
+        if left[x[0]] > 0:
+            left[x[0]] -= 1
+            both.append(x)
+        else:
+            rest.append(x)
+    over, left_b = Counter(x[0] for x in both), []
+    for x in b:
+        if over[x[0]] > 0:
+            over[x[0]] -= 1
+        else:
+            left_b.append(x)
+    return both, rest, left_b
+
+
+def likeness(a: str, b: str, tree_a: list[Section] | None = None, tree_b: list[Section] | None = None) -> float:
     if a[:32] == b[:32]:
         return 1.0
-    x, y = bag(a) if bag_a is None else bag_a, bag(b) if bag_b is None else bag_b
-    n = x.total() + y.total()
-    return 2 * sum((x & y).values()) / n if n else 1.0
+    x, y = tree(a) if tree_a is None else tree_a, tree(b) if tree_b is None else tree_b
+    total = sum(size(ps) for _, ps in x) + sum(size(ps) for _, ps in y)
+    same, x, y = unmatched(x, y)
+    common = sum(size(ps) for _, ps in same)
+    same, p, q = unmatched([p for _, ps in x for p in ps], [p for _, ps in y for p in ps])
+    common += size(same)
+    bags = [Counter(pieces[k : k + 8] for _, pieces in ps for k in range(0, len(pieces), 8)) for ps in (p, q)]
+    return 2 * (common + sum((bags[0] & bags[1]).values())) / (total + 1)
 
 
 def edits(a: str, b: str) -> list[tuple[str, int, int]]:
     """What differs, down the trees: ('a' or 'b', section, paragraph) of each paragraph that the other tree lacks."""
     if a[:32] == b[:32]:
         return []
-
-    def tree(fp: str) -> list[tuple[str, list[str]]]:
-        return [(s.split(":", 1)[0], [p.split(".", 1)[0] for p in s.split(":", 1)[1].split(",")]) for s in fp.split("/", 1)[1].split(";")]
-
     out = []
     for name, own, other in (("a", tree(a), tree(b)), ("b", tree(b), tree(a))):
-        tops, left = Counter(t for t, _ in other), Counter(p for _, ps in other for p in ps)
-        for t, ps in own:
-            if tops[t] > 0:
-                left.subtract(ps)
-        for i, (t, ps) in enumerate(own):
-            if tops[t] > 0:
-                tops[t] -= 1
-                continue
-            for j, p in enumerate(ps):
-                if left[p] > 0:
-                    left[p] -= 1
-                else:
-                    out.append((name, i, j))
+        numbered = [(t, i, ps) for i, (t, ps) in enumerate(own)]
+        _, rest, left = unmatched(numbered, other)
+        paragraphs = [(d, i, j) for _, i, ps in rest for j, (d, _) in enumerate(ps)]
+        out += [(name, i, j) for _, i, j in unmatched(paragraphs, [p for _, ps in left for p in ps])[1]]
     return out
 
 
@@ -130,7 +150,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py() or ""
             part = part.as_py()
             fp = fingerprint(text)
-            own = bag(fp)
+            own = tree(fp)
             if held is not None and held[0] == part:
                 changed = edited(held[2], text)
                 new = fingerprint(changed) if changed != held[2] else held[3]
@@ -158,19 +178,24 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     part = F.lit(0)
     if bounds:
         ranges = F.array(*[F.lit(x).cast("bigint") for x in bounds])
-        part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(ranges, lambda b: b > F.col("doc_id"))))
-    dealt = docs.withColumn("part", part)
-    heads = dealt.groupBy("part").agg(F.max("doc_id").alias("head"), F.count("*").alias("rows")).orderBy("part").collect()  # a row for each partition
+        part = F.size(F.filter(ranges, lambda b: b > F.col("doc_id")))
+    # Rows without a doc_id are spread over n more parts, by the hash that orders them.
+    tie = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20)))
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1 + F.floor(tie * n / (1 << 20)).cast("int")).otherwise(part)
+    dealt = docs.withColumn("part", part).withColumn("tie", tie)
+    # The first row of a part: the greatest doc_id, or the least tie.
+    heads = dealt.groupBy("part").agg(F.max("doc_id").alias("head"), F.min("tie").alias("least")).orderBy("part").collect()  # 2 n rows at most
     if not heads:
         return spark.createDataFrame([], OUT)
     before = {h["part"]: heads[k - 1]["part"] for k, h in enumerate(heads)}
+    least_of = F.create_map(*[F.lit(x) for h in heads for x in (h["part"], h["least"])])
     head_of = F.create_map(*[F.lit(x) for h in heads for x in (h["part"], h["head"])])
     before_of = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])
-    first = dealt.where(F.col("doc_id").eqNullSafe(head_of[F.col("part")]))
+    first = dealt.where(F.col("doc_id").eqNullSafe(head_of[F.col("part")]) & F.col("tie").eqNullSafe(least_of[F.col("part")]))
     # Of rows that tie at the head, the one that sorts first; ties are rare, and the least text is found by an aggregation.
     first = first.groupBy("part", "doc_id").agg(F.min("text").alias("text")).select(before_of[F.col("part")].alias("part"), "doc_id", "text", F.lit(True).alias("ghost"))
-    rows = dealt.select("part", "doc_id", "text", F.lit(False).alias("ghost")).union(first)
-    placed = rows.repartition(n, "part").sortWithinPartitions(F.col("part"), F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    rows = dealt.select("part", "doc_id", "text", F.lit(False).alias("ghost"), "tie").union(first.withColumn("tie", F.lit(0)))
+    placed = rows.repartition(n, "part").sortWithinPartitions(F.col("part"), F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("text"))
     return placed.select("part", "doc_id", "text", "ghost").mapInArrow(compare, OUT)
 
 

@@ -49,8 +49,14 @@ def family(seed, groups=6, copies=12, words=60, edits=4):
 @pytest.mark.parametrize("rows", [EDGES, family(1), family(2, 2, 30, 40, 2), family(3, 3, 25, 30, 3)])
 def test_against_brute_force(spark, rows):
     got = N.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert {r[0]: tuple(r[1:]) for r in got} == brute(rows)
-    assert len(got) == len({r[0] for r in rows if r[0] is not None})
+    assert {r[0]: tuple(r[1:]) for r in got if r[0] is not None} == brute(rows)
+    assert sorted(map(str, (r[1:] for r in got if r[0] is None))) == sorted(str((1, None, True)) for r in rows if r[0] is None)
+    assert len(got) == len({r[0] for r in rows if r[0] is not None}) + sum(r[0] is None for r in rows)
+
+
+def test_kept_row_is_the_one_that_was_judged(spark):
+    docs = spark.createDataFrame([(1, "b b b b b b", 1), (1, "a a a a a a", 2), (1, None, 3), (2, "b b b b b b", 4)], "doc_id bigint, text string, n int")
+    assert sorted(r["n"] for r in N.keep_first(spark, docs).collect()) == [2, 4]
 
 
 def test_empty_and_extra_columns(spark):

@@ -287,6 +287,60 @@ def test_best_fit():
     assert packing.best_fit([1]) == [(0, 512)] and packing.best_fit([]) == []
 
 
+def least_cost(sizes, permitted, price):
+    """Over all partitions of a few pieces."""
+    best = None
+    groups = []
+
+    def place(k):
+        nonlocal best
+        if k == len(sizes):
+            total = sum(min(c for c in permitted if c >= g) + price for g in groups)
+            best = total if best is None else min(best, total)
+            return
+        for j in range(len(groups)):
+            if groups[j] + sizes[k] <= max(permitted):
+                groups[j] += sizes[k]
+                place(k + 1)
+                groups[j] -= sizes[k]
+        groups.append(sizes[k])
+        place(k + 1)
+        groups.pop()
+
+    place(0)
+    return best
+
+
+def test_joint_packing_is_near_the_least_cost():
+    rng, ratio = random.Random(2), []
+    for _ in range(40):
+        sizes = [rng.randrange(1, 101) for _ in range(7)]
+        got = packing.cost(packing.jointly(sizes, (16, 32, 64, 128), 8), 8)
+        ratio.append(got / least_cost(sizes, (16, 32, 64, 128), 8))
+        assert got <= packing.cost(packing.best_fit(sizes, (16, 32, 64, 128), 8), 8)
+    assert min(ratio) >= 1 and np.mean(ratio) < 1.03 and np.mean([r == 1 for r in ratio]) > 0.5
+
+
+def test_sequences_hold_the_texts(spark):
+    rng = random.Random(4)
+    rows = [(k, " \n".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 3, 600, 9000])))) for k in range(40)] + [(99, None)]
+    docs = frame(spark, rows)
+    packed = packing.pack_documents(docs, 20)
+    bins = packing.sequences(docs, packed).collect()
+    assert all(len(b["tokens"]) <= b["capacity"] for b in bins)
+    held = {(b["shard"], b["bin"]): b["tokens"] for b in bins}
+    whole = {i: [*(t or "").split(), packing.END] for i, t in rows}
+    pieces = packed.collect()
+    for p in pieces:
+        assert held[p["shard"], p["bin"]][p["place"] : p["place"] + p["n_tokens"]] == whole[p["doc_id"]][p["first_token"] : p["first_token"] + p["n_tokens"]]
+    assert sum(map(len, held.values())) == sum(p["n_tokens"] for p in pieces) == sum(map(len, whole.values()))
+
+
+def test_packing_spreads_rows_without_ids(spark):
+    shards = packing.pack_documents(frame(spark, [(None, "a b")] * 300 + [(7, "c")] * 300), 50).groupBy("shard").count().collect()
+    assert len(shards) == 12 and max(r["count"] for r in shards) < 100
+
+
 def test_packing_keeps_every_token(spark):
     rows = [(1, "a b c"), (2, None), (3, ""), (4, "w " * 20_000), (4, "w " * 20_000), (None, "x y")]
     got = packing.pack_documents(frame(spark, rows), 2).toPandas()

@@ -8,8 +8,9 @@ two chunks of TILE members, and in a tile the members outside its largest compon
 inverted index. A tile gives out links between components alone, at most one for a member and a component.
 
 Defined results: null text, empty text and text without words have an empty set, are linked with nothing and kept. Rows repeated under one
-doc_id count once; of different texts under one doc_id the smallest counts. Rows with a null doc_id have no
-identity: they are not linked and near_duplicates() leaves them out; keep_first() passes them on.
+doc_id count once; of different texts under one doc_id the smallest counts, and keep_first() keeps its row. Rows with a null doc_id have no
+identity: they are linked with nothing, have a null component and stay. Very long texts are runs of their own; other columns are left out by
+near_duplicates() and kept by keep_first(), whatever their names.
 """
 
 from __future__ import annotations
@@ -192,7 +193,8 @@ def torn_links(spark: SparkSession, texts: DataFrame, stars: DataFrame, groups:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document; see the module."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = every.where("doc_id is not null")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = materialise(spark, docs.groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
     signed = materialise(spark, docs.mapInArrow(lambda x: signatures(x, bands, rows), "doc_id bigint, n_shingles bigint, low bigint, high bigint, keys array<bigint>"), "signatures")
@@ -209,14 +211,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, ban
         groups = components(spark, found.union(torn))
     of_class = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     full = signed.join(of_class, ["low", "high", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return full.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    known = full.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    unknown = every.where("doc_id is null").mapInArrow(lambda x: signatures(x, 1, 1), "doc_id bigint, n_shingles bigint, low bigint, high bigint, keys array<bigint>")
+    return known.unionByName(unknown.select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that stay: one of each group, the one with the smallest doc_id, as one row; rows with a null doc_id stay too."""
-    kept = near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.join(kept, known["doc_id"] == F.col("_kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    known = rows.where("id is not null").join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        known = known.groupBy("id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", F.xxhash64("row").alias("tie"), "row")).alias("least")).select("least.row")
+    return known.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velspar.llm.graph import components
+from velspar.llm.joins import join_by_frequency
 from velspar.llm.texthash import WEIGHTS, U, mix, shingles, slices, word_hashes, words
 from velspar.session import materialise, shuffle_partitions
 
 BANDS, ROWS = 32, 4
 #: Ids and pairs are broadcast up to this many rows (16 bytes each); beyond it the same joins shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 #: Members of a hub that one task verifies, and members of a torn star in one chunk of a tile.
 CHUNK, TILE = 512, 1024
 
@@ -201,16 +202,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, ban
     classes = materialise(spark, signed.where("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
     chosen = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id")
     members = chosen.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("other"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("other").alias("hub")).where("n > 1")
-    members = members.join(shared.select("key", "hub"), "key")  # of buckets with two members at least
+    shared = materialise(spark, members.groupBy("key").agg(F.count("*").alias("n"), F.min("other").alias("hub")).where("n > 1"), "buckets")
+    all_members = shared.agg(F.sum("n")).first()[0] or 0
+    members = join_by_frequency(members, shared, ["key"], "n", all_members)  # of buckets with two members at least
     stars = materialise(spark, members.where("hub <> other").select("hub", "other").distinct(), "stars")
     found = links(spark, docs, stars, percent)
     groups = components(spark, found)
     torn = torn_links(spark, docs, stars, groups, percent)
     if not torn.isEmpty():
         groups = components(spark, found.union(torn))
-    of_class = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    full = signed.join(of_class, ["low", "high", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    of_class = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", F.col("n_shingles").alias("size_of_set"), F.coalesce("component", "rep").alias("component_id"), "size")
+    worded = signed.where("n_shingles > 0").select("doc_id", "low", "high", F.col("n_shingles").alias("size_of_set"))
+    # A class of copies may hold a third of all documents; texts without words are in none.
+    full = join_by_frequency(worded, of_class, ["low", "high", "size_of_set"], "size", signed.count()).select("doc_id", F.col("size_of_set").alias("n_shingles"), "component_id")
+    full = full.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     known = full.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     unknown = every.where("doc_id is null").mapInArrow(lambda x: signatures(x, 1, 1), "doc_id bigint, n_shingles bigint, low bigint, high bigint, keys array<bigint>")
     return known.unionByName(unknown.select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept")))

@@ -13,7 +13,9 @@ documents which no other entry explains, five for each other document that holds
 hash. Threats, targets, negations and words of reported speech are the short lists below.
 
 Defined results: null and empty texts, and texts without a match, have the score of the logistic function at zero; without labelled rows every
-score is 0.0; repeated rows give a row each; a null doc_id is carried along. A document labelled in several rows is toxic if one of them says so.
+score is 0.0; repeated rows give a row each; a null doc_id is carried along and is not held out. A document labelled in several rows is toxic if one of
+them says so, and of texts repeated under one doc_id the least is learned from. Of entries that gain the same the whole word is taken, then the longer
+beginning; very long texts are scored whole; other columns are left out.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ from velspar.llm.texthash import mix, shingles, slices, word_hashes, words
 from velspar.session import materialise
 
 SAMPLE, PREFIXES, LEAST, FEW = 3000, (3, 4, 5, 6, 7, 8), 5, 3
+#: A candidate's toxic documents are LIFT times as many, for each other document, as chance gives; an entry of the lexicon has PURE toxic ones for each other.
+LIFT, PURE = 20, 5
 #: Marked documents are joined by broadcast up to this many (16 bytes each), else by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?:;\n]|[\"“”„«»]")
 
@@ -198,13 +202,13 @@ def choose(docs: list[tuple[int, np.ndarray]], entries: list[Entry], least: int
     for k, own in enumerate(toxic):
         for e in own.tolist():
             holds[e].append(k)
-    chosen = [e for e in range(n) if not entries[e][1] and len(holds[e]) >= max(least, 5 * false[e]) and unlike([toxic[k] for k in holds[e]], e, least)]
+    chosen = [e for e in range(n) if not entries[e][1] and len(holds[e]) >= max(least, PURE * false[e]) and unlike([toxic[k] for k in holds[e]], e, least)]
     left = set(range(len(toxic))) - {k for e in chosen for k in holds[e]}
     rest = {e: set(holds[e]) & left for e in set(range(n)) - set(chosen) if len(holds[e]) >= few}
     while left and rest:
         # Of equal gains the whole word, then the longer beginning: the narrower entry.
-        best = max(rest, key=lambda e: (len(rest[e]) - 5 * false[e], not entries[e][1], len(entries[e][0]), entries[e][0]))
-        if len(rest[best]) - 5 * false[best] < few:
+        best = max(rest, key=lambda e: (len(rest[e]) - PURE * false[e], not entries[e][1], len(entries[e][0]), entries[e][0]))
+        if len(rest[best]) - PURE * false[best] < few:
             break
         chosen.append(best)
         left -= rest.pop(best)
@@ -242,14 +246,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     sums = rows.select("text", "toxic").mapInArrow(word_counts, "entry string, is_prefix boolean, toxic bigint, others bigint").groupBy("entry", "is_prefix").agg(F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
     base = rows.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0
     lift = 1.0 if base >= 1 else max(0.0, base) / (1 - base)
-    strong = sums.where((F.col("toxic") >= FEW) & (F.col("toxic") >= 20 * lift * F.col("others")))
+    strong = sums.where((F.col("toxic") >= FEW) & (F.col("toxic") >= LIFT * lift * F.col("others")))
     picked = least_hashes(rows, "toxic", {1: SAMPLE, 0: 3 * SAMPLE})
     sample = marked.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")  # 4 * SAMPLE ids or so
     # Entries that no sampled row holds cannot be chosen nor tell sampled rows apart; the rest are bounded by the sample.
     present = sample.mapInArrow(word_counts, "entry string, is_prefix boolean, toxic bigint, others bigint").select("entry", "is_prefix").distinct()
     found = strong.join(present, ["entry", "is_prefix"], "left_semi").orderBy(F.desc(F.col("toxic") - F.col("others")), "is_prefix", "entry").collect()
     entries = [(r["entry"], r["is_prefix"]) for r in found]
-    weight = {(r["entry"], r["is_prefix"]): r["toxic"] / (r["toxic"] + 5 * r["others"] + 1) for r in found}
+    weight = {(r["entry"], r["is_prefix"]): r["toxic"] / (r["toxic"] + PURE * r["others"] + 1) for r in found}
     words_of, beginnings = {e: k for k, (e, p) in enumerate(entries) if not p}, {e: k for k, (e, p) in enumerate(entries) if p}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

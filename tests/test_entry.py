@@ -15,6 +15,25 @@ def test_names_match():
     assert set(CHECKED) <= set(retrieval.QUERIES) | set(structure.QUERIES)
 
 
+def test_queries_without_the_subpackage(monkeypatch):
+    import sys
+
+    everything = set(entry.queries())
+    monkeypatch.setitem(sys.modules, "velspar.llm.registry", None)  # an import of it fails
+    assert {n for n in everything if not n.startswith("op") and n != "pipeline"} == set(entry.queries()) > set(CHECKED)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from velspar import session
+
+    none = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
 

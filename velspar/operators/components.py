@@ -1,4 +1,4 @@
-"""Connected components of a distributed edge table, for operators outside the corpus tools."""
+"""Connected components of a distributed edge table."""
 
 from __future__ import annotations
 
@@ -7,19 +7,41 @@ from pyspark.sql import functions as F
 
 from velspar.session import materialise
 
+#: Rows of one written file.
+EDGES_A_FILE = 250_000
+
 
 def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, component) of all ends of undirected edges (a, b); component is the least node reachable.
+    """(node, component) for the ends of edges (a, b): component is the smallest node reachable.
 
-    Labels fall to the least label of a neighbour and of their own label's node, until none changes: paths shorten by doubling.
+    Each round every component takes the smallest component that an edge leads to, labels are then followed to their ends,
+    and edges inside one component go. Labels and edges stay distributed; each round's tables are written, so a lost executor costs no
+    lineage. A round at least halves the components that still have edges. An edge from a node to itself makes it a component; empty edges give an
+    empty table.
     """
-    both = materialise(spark, edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        step = materialise(spark, step.join(jump, "via", "left").select("node", "old", F.least("via", "far").alias("component")), "labels")
-        labels = step.select("node", "component")
-        if step.where("component <> old").isEmpty():
-            return labels
+    edges = materialise(spark, edges.select("a", "b").distinct(), "edges")
+    files = 1 + edges.count() // EDGES_A_FILE  # every later table has at most twice as many rows
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        return materialise(spark, df.coalesce(files), name)
+
+    labels = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "labels")
+    live = edges.where("a <> b")
+    while not live.isEmpty():
+        # Hook: every component to its smallest neighbour if that is smaller. Hooks point to smaller nodes, so they have no cycles.
+        hooks = live.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("up")).groupBy("node").agg(F.min("up").alias("up"))
+        hooks = written(hooks, "hooks")
+        while True:  # pointer jumping to the roots
+            up = hooks.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            jumped = hooks.join(up, "up", "left").select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved"))
+            jumped = written(jumped, "hooks")
+            moved = not jumped.where("moved").isEmpty()
+            hooks = jumped.drop("moved")
+            if not moved:
+                break
+        root = hooks.select(F.col("node").alias("component"), F.col("up"))
+        labels = written(labels.join(root, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        for end in ("a", "b"):
+            live = live.join(hooks.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+        live = written(live.where("a <> b").distinct(), "edges")
+    return labels

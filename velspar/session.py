@@ -13,12 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one, else one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one; on a local master alone, else one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     java = spark.sparkContext._jsc.sc().getCheckpointDir()
     if java.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="velspar-"))
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
     return java.get().rstrip("/")

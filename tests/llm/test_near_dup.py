@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from velspar.llm import near_dup as N
-from velspar.llm.graph import components
+from velspar.operators.components import connected as components
 
 EDGES = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "One TWO"), (6, "one two three"), (7, "a b c d e"), (8, "a b c d e"), (8, "a b c d e"), (9, "a b c d e f"), (None, "a b c d e")]
 

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velspar.llm.graph import components
 from velspar.llm.joins import join_by_frequency
 from velspar.llm.texthash import WEIGHTS, U, mix, shingles, slices, word_hashes, words
+from velspar.operators.components import connected as components
 from velspar.session import materialise, shuffle_partitions
 
 BANDS, ROWS = 32, 4

@@ -150,7 +150,7 @@ def test_triples(spark):
     assert dict(rows(graph.degrees(t)))["1"] == 3 and tuple(graph.audit(t).first()) == (3, 2, 3)
     with pytest.raises(Exception, match="empty part"):
         graph.normalise(spark.createDataFrame([("a", " ", "b")], "head string, relation string, tail string")).collect()
-    assert graph.walks(t, 1, 4).count() == 12 and rows(graph.walks(t, 2, 4, p=0.5, q=2.0)) == rows(graph.walks(t, 2, 4, p=0.5, q=2.0))
+    assert graph.walks(spark, t, 1, 4).count() == 12 and rows(graph.walks(spark, t, 2, 4, p=0.5, q=2.0)) == rows(graph.walks(spark, t, 2, 4, p=0.5, q=2.0))
 
 
 def test_krippendorff_and_kendall(spark):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from velspar.session import materialise
 
 def normalise(triples: DataFrame) -> DataFrame:
     """Trimmed and distinct; an empty part is an error."""
@@ -85,26 +85,34 @@ def ppmi(sequences: DataFrame, window: int) -> DataFrame:
     return out.withColumn("ppmi", F.log(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))).where("ppmi > 0").select("a", "b", "n", "ppmi")
 
 
-def walks(triples: DataFrame, per_node: int = 2, length: int = 6, seed: int = 42, p: float = 1.0, q: float = 1.0) -> DataFrame:
+#: Proposals of a biased step; the chance that none is accepted is under (1 - least / greatest weight) ** PROPOSALS, then the last one is taken.
+PROPOSALS = 6
+
+
+def walks(spark: SparkSession, triples: DataFrame, per_node: int = 10, length: int = 20, seed: int = 42, p: float = 1.0, q: float = 1.0) -> DataFrame:
     """(seq, position, token): second-order walks over the undirected graph, a step at a time, each choice by a hash of walk and step.
 
-    A step joins the walks' ends with the adjacency and keeps, of each walk, the neighbour with the least weighted hash (an exponential race): returning
-    weighs 1 / p, a neighbour of the last node 1, others 1 / q.
+    Neighbours are numbered, so a step joins each walk with the neighbours it draws and not with all of a hub's. Returning weighs 1 / p, a neighbour of the
+    last node 1, others 1 / q: proposals are drawn evenly and accepted by weight. Every step is a written table.
     """
     edges = triples.select(F.col("head").alias("a"), F.col("tail").alias("b")).union(triples.select("tail", "head")).where("a <> b").distinct()
+    edges = materialise(spark, edges.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("b")).cast("long")), "walk-edges")
+    degree = edges.groupBy(F.col("a").alias("now")).agg(F.count("*").alias("degree"))
+    biased, most = p != 1 or q != 1, max(1 / p, 1.0, 1 / q)
     at = edges.select(F.col("a").alias("now")).distinct().select("now", F.lit(None).cast("string").alias("last"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("k"))
-    at = at.withColumn("seq", F.concat_ws("#", "now", "k"))
+    at = materialise(spark, at.select("now", "last", F.concat_ws("#", "now", "k").alias("seq")), "walk-step")
     out = at.select("seq", F.lit(0).alias("position"), F.col("now").alias("token"))
+    draw = lambda step, salt: F.xxhash64("seq", F.lit(step), "turn", F.lit(seed), F.lit(salt))
     for step in range(1, length):
-        ends = at.join(edges.withColumnRenamed("a", "now").withColumnRenamed("b", "next"), "now")
-        if p != 1 or q != 1:
+        asked = at.join(degree, "now").withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(PROPOSALS if biased else 1))))
+        asked = asked.withColumn("place", F.pmod(draw(step, 0), F.col("degree")) + 1).join(edges.select(F.col("a").alias("now"), F.col("b").alias("next"), "place"), ["now", "place"])
+        if biased:
             known = edges.select(F.col("a").alias("last"), F.col("b").alias("next"), F.lit(True).alias("near"))
-            ends = ends.join(known, ["last", "next"], "left")
-            weight = F.when(F.col("last").isNull(), 1.0).when(F.col("next") == F.col("last"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
-        else:
-            weight = F.lit(1.0)
-        u = (F.pmod(F.xxhash64("seq", "next", F.lit(step), F.lit(seed)), F.lit(1 << 30)) + 1) / F.lit((1 << 30) + 2)
-        at = ends.groupBy("seq", "now").agg(F.min_by("next", F.struct((-F.log(u) / weight).alias("t"), F.col("next"))).alias("next")).select(F.col("next").alias("now"), F.col("now").alias("last"), "seq")
+            weight = F.when(F.col("last").isNull(), most).when(F.col("next") == F.col("last"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+            refused = F.pmod(draw(step, 1), F.lit(1 << 30)) / F.lit(1 << 30) * most >= weight
+            asked = asked.join(known, ["last", "next"], "left").withColumn("order", F.when(refused, 2 * PROPOSALS - F.col("turn")).otherwise(F.col("turn") - PROPOSALS - 1))
+            asked = asked.groupBy("seq", "now").agg(F.min_by("next", "order").alias("next"))
+        at = materialise(spark, asked.select(F.col("next").alias("now"), F.col("now").alias("last"), "seq"), "walk-step")
         out = out.union(at.select("seq", F.lit(step).alias("position"), F.col("now").alias("token")))
     return out
 

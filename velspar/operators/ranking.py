@@ -52,6 +52,16 @@ def pair_scores(queries: DataFrame, candidates: DataFrame, digits: int | None =
     return pairs.mapInPandas(product, f"query_id {kind}, candidate_id {kind}, score double")
 
 
+def score_pairs(pairs: DataFrame, vectors: DataFrame, digits: int | None = 6) -> DataFrame:
+    """(query_id, candidate_id, score): cosines of the given pairs alone, for fields that were admitted before."""
+    from velspar.functions.vectors import dot, normalise
+
+    unit = normalise(vectors.select("id", F.col("vector").cast("array<double>").alias("vector")))
+    both = pairs.join(unit.select(F.col("id").alias("query_id"), F.col("vector").alias("u")), "query_id").join(unit.select(F.col("id").alias("candidate_id"), F.col("vector").alias("w")), "candidate_id")
+    score = dot("u", "w")
+    return both.select("query_id", "candidate_id", (F.round(score, digits) + 0.0 if digits is not None else score).alias("score"))
+
+
 def ranked(scores: DataFrame, by: tuple[str, ...] = ("query_id",), score: Column | str = "score") -> DataFrame:
     """Adds `rank`, 1 for the best; ties go by candidate_id, never averaged."""
     score = F.col(score) if isinstance(score, str) else score

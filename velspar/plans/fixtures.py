@@ -20,7 +20,8 @@ CTE = {
     "lab": "SELECT DISTINCT l_orderkey AS id, 'S' || l_suppkey AS label FROM lineitem",
     "tree": "SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation UNION SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier",
     "dag": "SELECT * FROM tree UNION SELECT 'X' || (s_suppkey % 3), 'S' || s_suppkey FROM supplier",
-    "few": "SELECT id, label FROM lab WHERE id < 400",
+    "few": "SELECT id, label FROM lab SEMI JOIN embeddings ON vec_id = id",
+    "plab": "SELECT DISTINCT l_orderkey AS id, 'P' || l_partkey AS label FROM lineitem",
     "region_rows": "SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag) AS region_index, l_partkey % 16 AS sign, l_quantity / 50 AS area, l_discount * 10 AS centroid_x, l_tax * 12.5 AS centroid_y, l_quantity / 100 AS extent_x, l_quantity / 125 AS extent_y, l_returnflag AS corpus FROM lineitem",
     "box": "SELECT *, centroid_x - extent_x / 2 AS x0, centroid_y - extent_y / 2 AS y0, centroid_x + extent_x / 2 AS x1, centroid_y + extent_y / 2 AS y1 FROM region_rows",
     "rel": """SELECT a.id, a.region_index, b.region_index AS other, a.sign AS sign_a, b.sign AS sign_b,
@@ -56,9 +57,18 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("stratum"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("y"))
 
 
-def labels(spark: SparkSession, d: str, below: int | None = None) -> DataFrame:
-    out = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("label")).distinct()
-    return out if below is None else out.where(F.col("id") < below)
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("label")).distinct()
+
+
+def pool_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The labels of all pictures that have a vector: what can be ranked."""
+    return labels(spark, d).join(vectors(spark, d).select("id"), "id", "left_semi")
+
+
+def part_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of all pictures of which each is held by few, whatever the number of pictures."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("label")).distinct()
 
 
 def taxonomy(spark: SparkSession, d: str, several: bool = False) -> DataFrame:

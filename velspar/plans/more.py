@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from velspar.functions.vectors import dot, weighted_concat
 from velspar.operators import graph, metrics, pooling, ranking, regimes
 from velspar.plans import fixtures as X
-from velspar.plans.fixtures import items, labels, named, ratings, regions, rounded, triples, with_
+from velspar.plans.fixtures import items, labels, named, part_labels, ratings, regions, rounded, triples, with_
 from velspar.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -23,11 +23,11 @@ def query(sql: str | None = None):
     return add
 
 
-@query(with_("lab few", """, c AS (SELECT 'S' || vec_id AS label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 100), p AS (SELECT few.id, k, avg(v[k]) AS m, count(*) AS n FROM few JOIN c USING (label), range(1, 65) r(k) GROUP BY few.id, k)
+@query(with_("lab", """, c AS (SELECT 'S' || vec_id AS label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT lab.id, k, avg(v[k]) AS m, count(*) AS n FROM lab JOIN c USING (label), range(1, 65) r(k) GROUP BY lab.id, k)
   SELECT id, CAST(max(n) AS BIGINT) AS covered, round(max(CASE WHEN k = 1 THEN m END) / sqrt(sum(m * m)), 6) + 0 AS first FROM p GROUP BY id"""))
 def concept_mean_pool(spark, d):
-    concepts = X.vectors(spark, d).where("id < 100").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("label"), "vector")
-    return rounded(pooling.mean_pool(labels(spark, d, 400), concepts).select("id", "covered", F.col("vector")[0].alias("first")), "first")
+    concepts = X.vectors(spark, d).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("label"), "vector")
+    return rounded(pooling.mean_pool(labels(spark, d), concepts).select("id", "covered", F.col("vector")[0].alias("first")), "first")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place, greatest(count(*) OVER () // 3, 1) AS s FROM orders) SELECT id, place, CAST(least((place - 1) // s, 2) AS INT) AS band FROM o""")
@@ -98,18 +98,18 @@ def label_frequencies(spark, d):
     return own.join(own.groupBy("label").agg(F.count("*").alias("m")), "label").groupBy("id").agg(F.median("m").alias("median_frequency"))
 
 
-@query(with_("lab few", ", n AS (SELECT count(DISTINCT id) AS n FROM few) SELECT label, count(DISTINCT id) AS n FROM few GROUP BY label HAVING count(DISTINCT id) <= (SELECT greatest(CAST(floor(0.032 * n) AS BIGINT), 1) FROM n)"))
+@query(with_("lab", ", n AS (SELECT count(DISTINCT id) AS n FROM lab) SELECT label, count(DISTINCT id) AS n FROM lab GROUP BY label HAVING count(DISTINCT id) <= (SELECT greatest(CAST(floor(0.0375 * n) AS BIGINT), 1) FROM n)"))
 def rare_labels(spark, d):
-    own = labels(spark, d, 400)
+    own = labels(spark, d)
     size = own.select("id").distinct().count()
-    return own.join(regimes.rare_labels(own, size, 0.032), "label").groupBy("label").agg(F.countDistinct("id").alias("n"))
+    return own.join(regimes.rare_labels(own, size, 0.0375), "label").groupBy("label").agg(F.countDistinct("id").alias("n"))
 
 
-@query(with_("lab few", ", p AS (SELECT x.id, count(DISTINCT y.id) AS n FROM few x JOIN few y ON x.label = y.label AND x.id <> y.id GROUP BY x.id) SELECT round(median(501.0 / (n + 1)), 6) AS median FROM p"))
+@query(with_("plab", ", p AS (SELECT x.id, count(DISTINCT y.id) AS n FROM plab x JOIN plab y ON x.label = y.label AND x.id <> y.id GROUP BY x.id) SELECT round(median(501.0 / (n + 1)), 6) AS median FROM p"))
 def expected_best_rank(spark, d):
     from velspar.operators.taxonomy import exact
 
-    partners = exact(labels(spark, d, 400)).groupBy("query_id").agg(F.count("*").alias("n"))
+    partners = exact(part_labels(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"))
     return rounded(pooling.expected_best_rank(partners, 500), "median")
 
 
@@ -121,15 +121,14 @@ def knn_probe(spark, d):
     return rounded(share.agg(F.avg((F.col("share") > 0.1).cast("double")).alias("over_chance"), F.avg("share").alias("mean_share")), "over_chance", "mean_share")
 
 
-@query(with_("uv", "SELECT a.id AS query_id, b.id AS candidate_id, round((list_dot_product(a.v, b.v) + 0.25 * list_dot_product(a.g, b.g)) / 1.25, 6) + 0 AS score FROM uv a JOIN uv b ON a.id < b.id WHERE a.id < 40 AND b.id < 60"))
+@query(with_("uv", "SELECT a.id AS query_id, b.id AS candidate_id, round((list_dot_product(a.v, b.v) + 0.25 * list_dot_product(a.g, b.g)) / 1.25, 6) + 0 AS score FROM uv a JOIN uv b ON a.id <> b.id WHERE a.id % 20 = 0"))
 def concatenated_record(spark, d):
     """Weighted unit vectors as one: the cosine weighs the parts by the squares of their weights."""
     from velspar.functions.vectors import normalise
 
     parts = [normalise(X.half(spark, d, n)).select("id", F.col("vector").alias(n)) for n in "vg"]
     rows = normalise(parts[0].join(parts[1], "id").select("id", weighted_concat([("v", 1.0), ("g", 0.5)]).alias("vector")))
-    a, b = rows.where("id < 40").select(F.col("id").alias("query_id"), F.col("vector").alias("u")), rows.where("id < 60").select(F.col("id").alias("candidate_id"), F.col("vector").alias("w"))
-    return rounded(a.join(b, F.expr("query_id < candidate_id")).select("query_id", "candidate_id", dot("u", "w").alias("score")), "score")
+    return rounded(ranking.pair_scores(rows.where("id % 20 = 0"), rows), "score")  # stated queries against all rows
 
 
 @query(with_("named", """, a AS (SELECT DISTINCT id, word FROM named WHERE namer = 0), r AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM (SELECT id, list(word) AS w FROM a GROUP BY id)), n AS (SELECT count(*) AS n FROM r)

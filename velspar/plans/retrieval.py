@@ -186,19 +186,19 @@ def hard_pairs(spark, d):
 
 
 CONTROL_SQL = PAIR_SQL + """, e AS (SELECT b.q, b.c AS p, x.c AS ctl, b.v AS target, x.v AS score FROM best b JOIN vg x ON x.q = b.q AND x.c <> b.c JOIN item i ON i.id = b.q JOIN item j ON j.id = x.c
-  WHERE b.class = 'hard_positive' AND b.place <= 40 AND i.stratum = j.stratum AND abs(round(x.v - b.v, 6)) <= 0.02
-  AND NOT EXISTS (SELECT 1 FROM few l JOIN few m ON l.label = m.label WHERE l.id = b.q AND m.id = x.c))"""
+  WHERE b.class = 'hard_positive' AND b.place <= 250 AND i.stratum = j.stratum AND abs(round(x.v - b.v, 6)) <= 0.02
+  AND NOT EXISTS (SELECT 1 FROM lab l JOIN lab m ON l.label = m.label WHERE l.id = b.q AND m.id = x.c))"""
 
 
-def controls(spark, d, below: int | None = None):
-    hard = pairs.select_pairs(classified(spark, d), 40).where("class = 'hard_positive'")
+def controls(spark, d):
+    hard = pairs.select_pairs(classified(spark, d), 250).where("class = 'hard_positive'")
     scores = both_scores(spark, d).select("query_id", "candidate_id", F.col("v").alias("score"))
-    return pairs.eligible_controls(hard, scores, items(spark, d).select("id", "stratum"), labels(spark, d, below))
+    return pairs.eligible_controls(hard, scores, items(spark, d).select("id", "stratum"), labels(spark, d))
 
 
-@query(with_("uv vg item lab few", CONTROL_SQL + " SELECT q AS query_id, p AS positive_id, ctl AS control_id, target, score FROM e"))
+@query(with_("uv vg item lab", CONTROL_SQL + " SELECT q AS query_id, p AS positive_id, ctl AS control_id, target, score FROM e"))
 def matched_control_candidates(spark, d):
-    return controls(spark, d, 400)
+    return controls(spark, d)
 
 
 @query()
@@ -206,9 +206,9 @@ def matched_controls(spark, d):
     return pairs.draw_controls(controls(spark, d))
 
 
-@query(with_("uv vg item lab few", CONTROL_SQL + " SELECT round(avg(CASE WHEN target > score THEN 1.0 WHEN target = score THEN 0.5 ELSE 0.0 END), 6) AS auc FROM e"))
+@query(with_("uv vg item lab", CONTROL_SQL + " SELECT round(avg(CASE WHEN target > score THEN 1.0 WHEN target = score THEN 0.5 ELSE 0.0 END), 6) AS auc FROM e"))
 def paired_auc(spark, d):
-    return rounded(metrics.paired_auc(controls(spark, d, 400), "target", "score"), "auc")
+    return rounded(metrics.paired_auc(controls(spark, d), "target", "score"), "auc")
 
 
 @query(with_("uv vg", "SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM (SELECT v, p, n, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT v, sum(rel::INT) AS p, sum((NOT rel)::INT) AS n FROM vg WHERE q < c GROUP BY v))"))
@@ -291,8 +291,8 @@ def near_dup_groups(spark, d):
     return records.near_groups(spark, sign_hashes(spark, d), 17)
 
 
-@query(with_("u s r named", """, n AS (SELECT DISTINCT id, word FROM named), df AS (SELECT word, ln((SELECT count(DISTINCT id) FROM n) / (1 + count(*))) AS idf FROM n GROUP BY word),
-  f AS (SELECT x.id AS q, y.id AS c, round(sum(idf), 9) AS w FROM n x JOIN n y ON x.word = y.word AND x.id <> y.id JOIN df ON df.word = x.word WHERE x.id < 200 AND y.id < 500 GROUP BY 1, 2),
+@query(with_("u s r named", """, n AS (SELECT DISTINCT id, word FROM named), df AS (SELECT word, ln((SELECT count(DISTINCT id) FROM n) / (1 + count(*))) AS idf FROM n GROUP BY word), pool AS (SELECT n.* FROM n SEMI JOIN u ON u.id = n.id),
+  f AS (SELECT x.id AS q, y.id AS c, round(sum(idf), 9) AS w FROM pool x JOIN pool y ON x.word = y.word AND x.id <> y.id JOIN df ON df.word = x.word WHERE x.id % 20 = 0 GROUP BY 1, 2),
   k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY w DESC, c) AS place FROM f) WHERE place <= 100)
   SELECT * FROM (SELECT k.q AS query_id, k.c AS candidate_id, s.score, row_number() OVER (PARTITION BY k.q ORDER BY s.score DESC, k.c) AS rank FROM k JOIN s ON s.q = k.q AND s.c = k.c) WHERE rank <= 10"""))
 def filter_then_rank(spark, d):
@@ -301,10 +301,11 @@ def filter_then_rank(spark, d):
     size = n.agg(F.countDistinct("id").alias("size"))
     idf = n.groupBy("word").agg(F.count("*").alias("m")).crossJoin(size).select("word", F.log(F.col("size") / (1 + F.col("m"))).alias("idf"))  # one row
     ids = vectors(spark, d).select("id")
-    q, c = n.where("id < 200").join(ids, "id").withColumnRenamed("id", "query_id"), n.where("id < 500").join(ids, "id").withColumnRenamed("id", "candidate_id")
+    pool = n.join(ids, "id")  # names of what can be ranked; queries as stated
+    q, c = pool.where("id % 20 = 0").withColumnRenamed("id", "query_id"), pool.withColumnRenamed("id", "candidate_id")
     field = q.join(c, "word").where("query_id <> candidate_id").join(idf, "word").groupBy("query_id", "candidate_id").agg(F.round(F.sum("idf"), 9).alias("score"))
     field = ranking.ranked(field).where("rank <= 100").select("query_id", "candidate_id")
-    return ranking.ranked(ranking.pair_scores(vectors(spark, d), vectors(spark, d)).join(field, ["query_id", "candidate_id"])).where("rank <= 10")
+    return ranking.ranked(ranking.score_pairs(field, vectors(spark, d))).where("rank <= 10")
 
 
 @query(with_("u", ", c AS (SELECT i, j, avg(v[i] * v[j]) AS m FROM u, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j) SELECT round(sum(CASE WHEN i = j THEN m ELSE 0 END) ** 2 / sum(m * m), 4) AS effective_rank FROM c"))

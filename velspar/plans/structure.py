@@ -8,7 +8,7 @@ from velspar.functions import text
 from velspar.operators import agreement, channels, graph, metrics, pairs, ranking, records, regimes, taxonomy
 from velspar.operators.components import connected
 from velspar.plans import fixtures as X
-from velspar.plans.fixtures import items, labels, named, ratings, regions, rounded, triples, with_
+from velspar.plans.fixtures import items, labels, named, part_labels, pool_labels, ratings, regions, rounded, triples, with_
 from velspar.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -46,12 +46,16 @@ def group_split_has_no_leakage(spark, d):
     return records.leakage(records.split_records(items(spark, d), SEED, "book"), "book")
 
 
-@query("""WITH RECURSIVE k AS (SELECT o_orderkey AS id, o_custkey // 3 AS a, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 7 END AS b FROM orders WHERE o_orderkey < 600),
-  e AS (SELECT x.id AS p, y.id AS q FROM k x JOIN k y ON x.a = y.a UNION SELECT x.id, y.id FROM k x JOIN k y ON x.b = y.b),
-  reach AS (SELECT id AS p, id AS q FROM k UNION SELECT reach.p, e.q FROM reach JOIN e ON e.p = reach.q) SELECT p AS id, min(q) AS group_id FROM reach GROUP BY p""")
+#: Each node takes the least label of a neighbour until none is less.
+LEAST_SQL = "cc(node, least) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION (SELECT DISTINCT ON (u.node) u.node, v.least FROM recurring.cc u JOIN e ON e.a = u.node JOIN recurring.cc v ON v.node = e.b WHERE v.least < u.least ORDER BY u.node, v.least))"
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT o_orderkey AS id, 'a' || (o_custkey // 3) AS a, CASE WHEN o_orderkey % 500 = 0 THEN 'b' || (o_custkey % 70) END AS b FROM orders),
+  s AS (SELECT 'i' || id AS a, a AS b FROM k UNION SELECT 'i' || id, b FROM k WHERE b IS NOT NULL), e AS (SELECT a, b FROM s UNION SELECT b, a FROM s), {LEAST_SQL},
+  own AS (SELECT CAST(substr(node, 2) AS BIGINT) AS id, least FROM cc WHERE node[1] = 'i') SELECT id, min(id) OVER (PARTITION BY least) AS group_id FROM own""")
 def combine_group_keys(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 600")
-    return records.combine_groups(spark, o.select(F.col("o_orderkey").alias("id"), F.expr("o_custkey div 3").alias("a"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 7 END").alias("b")), ["a", "b"])
+    o = table(spark, d, "orders")
+    return records.combine_groups(spark, o.select(F.col("o_orderkey").alias("id"), F.expr("o_custkey div 3").alias("a"), F.expr("CASE WHEN o_orderkey % 500 = 0 THEN o_custkey % 70 END").alias("b")), ["a", "b"])
 
 
 @query("""WITH g AS (SELECT o_custkey AS group_id, count(*) AS size FROM orders GROUP BY 1 HAVING count(*) > 1) SELECT size, count(*) AS groups FROM g GROUP BY size""")
@@ -59,12 +63,10 @@ def group_size_histogram(spark, d):
     return records.group_size_histogram(items(spark, d).withColumnRenamed("book", "group_id"))
 
 
-@query("SELECT id, source FROM (SELECT p_partkey AS id, 'part' AS source FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey % 2 = 1 OR s_suppkey > (SELECT max(p_partkey) FROM part))")
+@query("SELECT id, source FROM (SELECT p_partkey AS id, 'part' AS source FROM part UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey > (SELECT max(p_partkey) FROM part) UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey > (SELECT greatest(max(p_partkey), (SELECT max(c_custkey) FROM customer)) FROM part))")
 def merge_collections(spark, d):
-    part = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.lit("part").alias("source"))
-    top = table(spark, d, "part").agg(F.max("p_partkey").alias("m"))
-    other = table(spark, d, "supplier").crossJoin(F.broadcast(top)).where("s_suppkey % 2 = 1 OR s_suppkey > m").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("source"))  # one row
-    return records.merge_first([part, other])
+    named = (("part", "p_partkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"))
+    return records.merge_first([table(spark, d, t).select(F.col(key).alias("id"), F.lit(t).alias("source")) for t, key in named])
 
 
 @query(with_("lab item", """, n AS (SELECT item.id, count(label) AS n FROM item LEFT JOIN lab ON lab.id = item.id GROUP BY item.id), m AS (SELECT label, count(*) AS m FROM lab GROUP BY label)
@@ -151,21 +153,21 @@ def keyed_labels(spark, d):
     return taxonomy.with_keyed_labels(p.select(F.substring("p_brand", 1, 5).alias("parent"), F.col("p_brand").alias("child")).distinct(), p.select(label.alias("label")))
 
 
-GRADED = """, ups AS (SELECT few.id, cl.ancestor, min(distance) AS dist FROM few JOIN cl ON cl.node = few.label WHERE few.id < 150 GROUP BY ALL),
+GRADED = """, ups AS (SELECT few.id, cl.ancestor, min(distance) AS dist FROM few JOIN cl ON cl.node = few.label GROUP BY ALL),
   near AS (SELECT a.id AS q, b.id AS c, min(a.dist + b.dist) AS dist FROM ups a JOIN ups b ON a.ancestor = b.ancestor AND a.id <> b.id GROUP BY 1, 2)"""
 
 
 @query(tax("lab few tree dag", GRADED.lstrip(", ").join([", ", ""]) + " SELECT q AS query_id, c AS candidate_id, round(1.0 / (1 + dist), 6) AS gain FROM near"))
 def graded_relevance(spark, d):
     paths = taxonomy.closure(spark, X.taxonomy(spark, d, True))
-    return rounded(taxonomy.graded(paths, labels(spark, d, 150)), "gain")
+    return rounded(taxonomy.graded(paths, pool_labels(spark, d)), "gain")
 
 
 @query(tax("lab few tree dag", GRADED.lstrip(", ").join([", ", ""]) + """, best AS (SELECT q, 1.0 / (1 + dist) AS g, row_number() OVER (PARTITION BY q ORDER BY dist) AS place FROM near),
   r AS (SELECT q, 1.0 / (1 + dist) AS g, row_number() OVER (PARTITION BY q ORDER BY abs(q - c), c) AS rank FROM near)
   SELECT a.q AS query_id, round(a.x / b.x, 6) AS ndcg FROM (SELECT q, sum(g / log2(rank + 1)) AS x FROM r WHERE rank <= 10 GROUP BY q) a JOIN (SELECT q, sum(g / log2(place + 1)) AS x FROM best WHERE place <= 10 GROUP BY q) b ON a.q = b.q"""))
 def retrieval_metrics_graded(spark, d):
-    gains = taxonomy.graded(taxonomy.closure(spark, X.taxonomy(spark, d, True)), labels(spark, d, 150))
+    gains = taxonomy.graded(taxonomy.closure(spark, X.taxonomy(spark, d, True)), pool_labels(spark, d))
     ranks = ranking.ranked(gains.withColumn("score", -F.abs(F.col("query_id") - F.col("candidate_id"))))
     return rounded(metrics.ndcg(ranks, metrics.ideal_dcg(gains)), "ndcg")
 
@@ -177,11 +179,11 @@ def undirected_distance(spark, d):
 
 
 @query(with_("lab few tree dag", """, step AS (SELECT parent AS a, child AS b FROM dag UNION SELECT child, parent FROM dag), walk AS (SELECT a, a AS b, 0 AS distance FROM step UNION SELECT walk.a, step.b, distance + 1 FROM walk JOIN step ON step.a = walk.b WHERE distance < 3),
-  dist AS (SELECT a, b, min(distance) AS d FROM walk GROUP BY a, b), near AS (SELECT x.id AS q, y.id AS c, min(d) AS d FROM few x JOIN dist ON dist.a = x.label JOIN few y ON y.label = dist.b WHERE x.id < 100 AND y.id < 100 AND x.id <> y.id GROUP BY 1, 2)
+  dist AS (SELECT a, b, min(distance) AS d FROM walk GROUP BY a, b), near AS (SELECT x.id AS q, y.id AS c, min(d) AS d FROM few x JOIN dist ON dist.a = x.label JOIN few y ON y.label = dist.b WHERE x.id <> y.id GROUP BY 1, 2)
   SELECT q AS query_id, round(sum(1.0 / (1 + d) / log2(place + 1)), 6) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d) AS place FROM near) WHERE place <= 10 GROUP BY q""", True))
 def ideal_relevance(spark, d):
     near = taxonomy.undirected_distances(spark, X.taxonomy(spark, d, True), 3)
-    own = labels(spark, d, 100)
+    own = pool_labels(spark, d)
     q, c = own.select(F.col("id").alias("query_id"), F.col("label").alias("a")), own.select(F.col("id").alias("candidate_id"), F.col("label").alias("b"))
     gains = q.join(near, "a").join(c, "b").where("query_id <> candidate_id").groupBy("query_id", "candidate_id").agg((1 / (1 + F.min("distance"))).alias("gain"))
     return rounded(metrics.ideal_dcg(gains), "ideal")
@@ -222,10 +224,10 @@ def cross_volume_books(spark, d):
     return graph.shared_tails(triples(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'O' || o_orderkey AS a, 'C' || o_custkey AS b FROM orders WHERE o_orderkey < 500), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  reach AS (SELECT a AS node, a AS other FROM s UNION SELECT node, s.b FROM reach JOIN s ON s.a = other) SELECT node, min(other) AS component FROM reach GROUP BY node""")
+@query(f"""WITH RECURSIVE s AS (SELECT 'O' || o_orderkey AS a, 'C' || o_custkey AS b FROM orders), e AS (SELECT a, b FROM s UNION SELECT b, a FROM s), {LEAST_SQL}
+  SELECT node, least AS component FROM cc""")
 def connected_components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 500")
+    o = table(spark, d, "orders")
     return connected(spark, o.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("a"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("b")))
 
 
@@ -238,9 +240,8 @@ def ppmi_cooccurrence(spark, d):
 
 @query()
 def walk_ppmi(spark, d):
-    """Second-order walks over a part of the graph and their positive PMI."""
-    part = triples(spark, d).where("relation = 'published_at'")
-    return graph.ppmi(graph.walks(part, 2, 5, q=0.5), 2)
+    """Walks over all triples and their positive PMI."""
+    return graph.ppmi(graph.walks(spark, triples(spark, d)), 2)
 
 
 # Pictures: regions, names, ratings
@@ -251,10 +252,11 @@ def sign_histogram(spark, d):
     return rounded(channels.histogram(regions(spark, d), "sign", "area"), "weight")
 
 
-@query(with_("region_rows", """, s AS (SELECT id, sign, sum(area) AS w FROM region_rows WHERE id < 300 GROUP BY ALL), h AS (SELECT id, sign, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM s)
-  SELECT a.id AS query_id, b.id AS candidate_id, round(sum(a.w * b.w), 6) AS score FROM h a JOIN h b ON a.sign = b.sign AND a.id <> b.id GROUP BY 1, 2"""))
+@query("""WITH s AS (SELECT l_orderkey AS id, l_partkey AS feature, sum(l_quantity / 50) AS w FROM lineitem GROUP BY ALL), h AS (SELECT id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM s)
+  SELECT a.id AS query_id, b.id AS candidate_id, round(sum(a.w * b.w), 6) AS score FROM h a JOIN h b ON a.feature = b.feature AND a.id <> b.id GROUP BY 1, 2""")
 def sparse_channel_cosine(spark, d):
-    return rounded(channels.sparse_cosine(channels.histogram(regions(spark, d).where("id < 300"), "sign", "area")), "score")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), (F.col("l_quantity") / 50).alias("area"))
+    return rounded(channels.sparse_cosine(channels.histogram(rows, "part", "area")), "score")
 
 
 @query(with_("region_rows", ", n AS (SELECT id, sign, count(*) AS n FROM region_rows GROUP BY ALL), b AS (SELECT id, CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 4 THEN '3-4' ELSE '5+' END AS bucket, count(*) AS m FROM n GROUP BY ALL) SELECT id, bucket, round(m / sum(m) OVER (PARTITION BY id), 6) AS share FROM b"))
@@ -355,17 +357,17 @@ def disagreements(spark, d):
 # Search regimes and partners over items
 
 
-@query(with_("item lab few", "SELECT x.id AS query_id, y.id AS candidate_id FROM few x JOIN few y ON x.label = y.label AND x.id <> y.id GROUP BY 1, 2"))
+@query(with_("plab", "SELECT x.id AS query_id, y.id AS candidate_id FROM plab x JOIN plab y ON x.label = y.label AND x.id <> y.id GROUP BY 1, 2"))
 def exact_relevance(spark, d):
-    return taxonomy.exact(labels(spark, d, 400))
+    return taxonomy.exact(part_labels(spark, d))
 
 
-@query(with_("item lab few", """, h AS (SELECT label FROM few GROUP BY label HAVING count(*) <= 20), p AS (SELECT DISTINCT x.id AS q, y.id AS c FROM few x JOIN few y ON x.label = y.label AND x.id <> y.id JOIN h ON h.label = x.label)
+@query(with_("item plab", """, h AS (SELECT label FROM plab GROUP BY label HAVING count(*) <= 30), p AS (SELECT DISTINCT x.id AS q, y.id AS c FROM plab x JOIN plab y ON x.label = y.label AND x.id <> y.id JOIN h ON h.label = x.label)
   SELECT p.q AS id, count(*) AS partners, count(*) FILTER (a.book = b.book) AS same_book FROM p JOIN item a ON a.id = p.q JOIN item b ON b.id = p.c GROUP BY p.q"""))
 def filiation_counts(spark, d):
     own = items(spark, d).select("id", "book")
     a, b = own.select(F.col("id").alias("query_id"), F.col("book").alias("x")), own.select(F.col("id").alias("candidate_id"), F.col("book").alias("y"))
-    found = taxonomy.exact(labels(spark, d, 400), hub=20).join(a, "query_id").join(b, "candidate_id")
+    found = taxonomy.exact(part_labels(spark, d), hub=30).join(a, "query_id").join(b, "candidate_id")
     return found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("partners"), F.count_if(F.col("x").eqNullSafe(F.col("y"))).alias("same_book"))
 
 
@@ -375,7 +377,7 @@ PARTNER = """, p AS (SELECT DISTINCT x.id AS q, y.id AS c FROM few x JOIN few y
 def partners(spark, d, differ: str):
     own = items(spark, d).select("id", differ)
     a, b = own.select(F.col("id").alias("query_id"), F.col(differ).alias("x")), own.select(F.col("id").alias("candidate_id"), F.col(differ).alias("y"))
-    return taxonomy.exact(labels(spark, d, 400)).join(a, "query_id").join(b, "candidate_id").where("x <> y").select("query_id", "candidate_id")
+    return taxonomy.exact(pool_labels(spark, d)).join(a, "query_id").join(b, "candidate_id").where("x <> y").select("query_id", "candidate_id")
 
 
 @query(with_("u s r item lab few", PARTNER.format("a.book <> b.book") + " SELECT r.q AS query_id, min(rank) AS rank FROM r JOIN p ON p.q = r.q AND p.c = r.c GROUP BY r.q"))
@@ -399,7 +401,7 @@ def subject_kind_breakdown(spark, d):
 @query(with_("u s r lab few", ", top AS (SELECT q, c FROM r WHERE rank <= 10) SELECT few.label, count(*) AS slots, count(h.id) AS hits FROM few JOIN top ON top.q = few.id LEFT JOIN few h ON h.id = top.c AND h.label = few.label GROUP BY few.label"))
 def motif_retrieval(spark, d):
     top = ranking.top_k(X.vectors(spark, d), X.vectors(spark, d))
-    own = labels(spark, d, 400)
+    own = pool_labels(spark, d)
     rows = own.withColumnRenamed("id", "query_id").join(top, "query_id").join(own.select(F.col("id").alias("candidate_id"), "label", F.lit(1).alias("hit")), ["candidate_id", "label"], "left")
     return rows.groupBy("label").agg(F.count("*").alias("slots"), F.count("hit").alias("hits"))
 
@@ -421,7 +423,7 @@ def _regime(name: str, match: list[str], differ: list[str]):
 
     def run(spark, d):
         scores = ranking.pair_scores(X.vectors(spark, d), X.vectors(spark, d))
-        return regimes.search(scores, items(spark, d), labels(spark, d, 400), match, differ, 5)
+        return regimes.search(scores, items(spark, d), pool_labels(spark, d), match, differ, 5)
 
     run.__name__ = f"search_regime_{name}"
     query(sql)(run)
@@ -457,6 +459,6 @@ def imprint(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), place.alias("place"), printer.alias("printer"), text.year(F.concat(F.lit("in "), (1400 + F.col("p_size") * 7).cast("string"), F.lit(" or so"))).alias("year"))
 
 
-@query(with_("lab few", "SELECT sha256(string_agg(id || chr(9) || label || chr(10), '' ORDER BY id || chr(9) || label)) AS digest FROM few"))
+@query(with_("lab", "SELECT sha256(string_agg(id || chr(9) || label || chr(10), '' ORDER BY id || chr(9) || label)) AS digest FROM lab"))
 def canonical_digest(spark, d):
-    return spark.createDataFrame([(graph.digest(labels(spark, d, 400), ["id", "label"]),)], "digest string")
+    return spark.createDataFrame([(graph.digest(labels(spark, d), ["id", "label"]),)], "digest string")

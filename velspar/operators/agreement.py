@@ -122,3 +122,30 @@ def permutation_test(rows: DataFrame, group: str, a: str, b: str, permutations:
         return pd.DataFrame({group: [frame[group].iloc[0]], "difference": [d.mean()], "p": [(least + 1) / (permutations + 1)], "n": [len(d)]})
 
     return rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, difference double, p double, n bigint")
+
+
+def paired_difference(rows: DataFrame, group: str, a: str, b: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(group, mean_first, mean_second, mean_difference, low, high, excludes_zero, n): queries are resampled jointly, as differences."""
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    means = known.groupBy(group).agg(F.avg(a).alias("mean_first"), F.avg(b).alias("mean_second"))
+    interval = bootstrap_ci(known.select(group, (F.col(a) - F.col(b)).alias("difference")), group, "difference", resamples, confidence, seed).withColumnRenamed("mean", "mean_difference")
+    return means.join(interval, group).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+def compare_methods(rows: DataFrame, group: str, a: str, b: str, resamples: int = 10_000, permutations: int = 10_000, seed: int = 42) -> DataFrame:
+    """The paired difference of two methods with its interval, the permutation test and both effect sizes, for each group, of which there are few."""
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    out = paired_difference(known, group, a, b, resamples, seed=seed).join(permutation_test(known, group, a, b, permutations, seed).select(group, "p"), group)
+    d = F.col(a) - F.col(b)
+    size = known.groupBy(group).agg(F.when(F.count(d) >= 2, F.coalesce(F.try_divide(F.avg(d), F.nullif(F.stddev_samp(d), F.lit(0.0))), F.lit(0.0))).alias("cohens_d"))
+    values = known.select(group, F.col(a).alias("v"), F.lit(1).alias("p"), F.lit(0).alias("q")).union(known.select(group, b, F.lit(0), F.lit(1))).groupBy(group, "v").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    order = Window.partitionBy(group).orderBy("v")
+    below = F.coalesce(F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = F.coalesce(F.sum("q").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    delta = values.withColumn("w", F.col("p") * (below - above)).groupBy(group).agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("q")).alias("cliffs_delta"))
+    return out.join(size, group).join(delta, group)
+
+
+def compare_with_metric(human: DataFrame, metric: DataFrame) -> DataFrame:
+    """Kendall's tau-b of two tables (key, value) over the keys that both hold."""
+    return kendall_tau_b(human.select("key", F.col("value").alias("x")).join(metric.select("key", F.col("value").alias("y")), "key"), "x", "y")

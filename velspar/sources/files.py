@@ -38,12 +38,15 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_triples(spark: SparkSession, path: str, has_header: bool = False) -> DataFrame:
-    """Tab-separated head, relation, tail; empty lines and comments (#) are skipped, as is a header row of those names. Another number of parts is an error."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    """Tab-separated head, relation, tail; empty lines and comments (#) are skipped, as is, if the first row that is kept names the columns, that row alone. Another
+    number of parts is an error."""
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    if has_header:
+        first = lines.orderBy("at").limit(1).select("at", F.expr("value RLIKE '^\\\\s*head\\\\s*\\t\\\\s*relation\\\\s*\\t\\\\s*tail\\\\s*$'").alias("names")).collect()
+        lines = lines.where(F.col("at") != first[0]["at"]) if first and first[0]["names"] else lines
     parts = lines.select(F.split("value", "\t").alias("p"))
     right = F.when(F.size("p") == 3, F.col("p")).otherwise(F.raise_error(F.lit("a triple has three parts")).cast("array<string>"))
-    out = parts.select(right.alias("p")).select(*[F.trim(F.col("p")[k]).alias(n) for k, n in enumerate(("head", "relation", "tail"))])
-    return out.where("NOT (head = 'head' AND relation = 'relation' AND tail = 'tail')") if has_header else out
+    return parts.select(right.alias("p")).select(*[F.trim(F.col("p")[k]).alias(n) for k, n in enumerate(("head", "relation", "tail"))])
 
 
 def write_triples(triples: DataFrame, path: str) -> None:

@@ -80,6 +80,7 @@ def test_repeated_rows_nulls_and_extra_columns(spark):
     assert out.columns == docs.columns
     got = sorted(((r[0], r[1], r[2]) for r in out.collect()), key=str)
     assert got == sorted([(1, "x\ny\nz\nw", 7), (1, "", 0), (2, "", 0), (None, "", 0), (3, None, None)], key=str)
+    assert sorted((r[0] for r in L.remove_repeats(spark, docs, drop_emptied=True).collect()), key=str) == [1, 3]
     clash = frame(spark, [(1, "a\nb", 1, 2), (2, "a\nb", 3, 4)], "doc_id bigint, text string, id int, first int")
     assert sorted(map(tuple, L.remove_repeats(spark, clash).collect())) == [(1, "a\nb", 1, 2), (2, "", 3, 4)]
     assert L.line_dedup(spark, docs.limit(0)).collect() == []

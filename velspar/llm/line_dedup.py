@@ -115,10 +115,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, divisor: int = DIVISOR) ->
     return without(rows, repeats(spark, rows, divisor)).select("doc_id", F.col("left").alias("text"), n_lines.alias("n_lines"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n_removed"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with repeated lines taken out of `text` and, where there is one, `n_chars` to match; other columns as they were."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """The documents with repeated lines taken out of `text` and, where there is one, `n_chars` to match; other columns as they were. With `drop_emptied`
+    documents go that lose all their text, which other documents keep."""
     rows = identified(spark, docs)
     new = without(rows, repeats(spark, rows))
+    if drop_emptied:
+        new = new.where(F.col("gone").isNull() | (F.expr(f"trim(BOTH '{BLANKS}\\n' FROM left)") != ""))
     kind = {f.name: f.dataType for f in docs.schema.fields}
     fields = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("left").cast(kind["text"])}
     if "n_chars" in fields:

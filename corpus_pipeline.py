@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go from the texts; every document stays."""
-    return line_dedup.remove_repeats(spark, docs)
+    """Repeated lines go from the texts; a document whose lines all occur in others goes with them."""
+    return line_dedup.remove_repeats(spark, docs, drop_emptied=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

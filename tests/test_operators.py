@@ -133,6 +133,12 @@ def test_banding_misses_no_pair(spark, threshold):
     assert dict(rows(records.near_groups(spark, df, threshold))) == label
 
 
+def test_near_pairs_have_every_copy(spark):
+    values = [(1, 0b0), (2, 0b0), (3, 0b0), (4, 0b1), (5, 0b1), (6, -1), (7, None)]
+    got = sorted(rows(records.near_pairs(spark.createDataFrame(values, "id bigint, hash bigint"), 2)))
+    assert got == [(1, 2, 0), (1, 3, 0), (1, 4, 1), (1, 5, 1), (2, 3, 0), (2, 4, 1), (2, 5, 1), (3, 4, 1), (3, 5, 1), (4, 5, 0)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(90, 91)], "a int, b int")
     assert dict(rows(connected(spark, edges))) == {**dict.fromkeys(range(41), 0), 90: 90, 91: 90}

@@ -51,21 +51,36 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 
 
 def near_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
-    """(a, b, distance), a < b, of all hashes (id, hash) within the threshold. Equal hashes meet once per value, as their ids' star.
+    """(a, b, distance), a < b, of all hashes (id, hash) within the threshold, equal hashes included: each pair of ids once.
 
-    Exact by the pigeonhole principle. Distinct hashes meet in bands; AQE splits skewed bands of the join.
+    Distinct hashes are compared once, copies only named: near_values() has the links without the pairs of copies.
     """
+    known = hashes.where("hash is not null").select("id", "hash").distinct()
+    values = known.groupBy("hash").agg(F.min("id").alias("id"))
+    found = _within(values, threshold, bits).select("h", "i", "distance")
+    every = known.select(F.col("hash").alias("h"), F.col("id").alias("x")).join(found, "h").join(known.select(F.col("hash").alias("i"), F.col("id").alias("y")), "i")
+    unlike = every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").where("a <> b")
+    equal = known.select("hash", F.col("id").alias("a")).join(known.select("hash", F.col("id").alias("b")), "hash").where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    return unlike.union(equal)
+
+
+def near_values(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+    """(a, b, distance), a < b: pairs within the threshold of the least ids of distinct hashes, and each least id with its copies; as connected as near_pairs()."""
     values = hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id"))
+    equal = hashes.where("hash is not null").join(values.withColumnRenamed("id", "a"), "hash").where("a <> id").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return _within(values, threshold, bits).select("a", "b", "distance").union(equal)
+
+
+def _within(values: DataFrame, threshold: int, bits: int) -> DataFrame:
+    """(a, b, h, i, distance) of distinct hashes within the threshold, a < b. Exact by the pigeonhole principle; AQE splits skewed bands of the join."""
     banded = band_table(values, threshold, bits)
     left, right = banded.select("band", "chunk", F.col("id").alias("a"), F.col("hash").alias("h")), banded.select("band", "chunk", F.col("id").alias("b"), F.col("hash").alias("i"))
-    found = left.join(right, ["band", "chunk"]).where((F.col("a") < F.col("b")) & (hamming("h", "i") <= threshold)).select("a", "b", hamming("h", "i").alias("distance")).distinct()
-    equal = hashes.where("hash is not null").join(values.withColumnRenamed("id", "a"), "hash").where("a <> id").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    return found.union(equal)
+    return left.join(right, ["band", "chunk"]).where((F.col("a") < F.col("b")) & (hamming("h", "i") <= threshold)).select("a", "b", "h", "i", hamming("h", "i").alias("distance")).distinct()
 
 
 def near_groups(spark: SparkSession, hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """(id, group_id) for every row; those without near-duplicates or without a hash stand alone."""
-    groups = connected(spark, near_pairs(hashes, threshold, bits).select("a", "b"))
+    groups = connected(spark, near_values(hashes, threshold, bits).select("a", "b"))
     return hashes.select("id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group_id"))
 
 

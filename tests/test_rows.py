@@ -11,6 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Queries over all pairs of vectors; their tasks score whole rows.
 WHOLE_ROWS = [
     "evaluate_split",
+    "evaluation_by_frequency",
 ]
 
 

@@ -14,6 +14,7 @@ WHOLE_ROWS = [
     "evaluation_by_frequency",
     "masked_recovery",
     "search_regime_subject_other_book",
+    "search_regime_year",
 ]
 
 

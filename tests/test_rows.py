@@ -17,6 +17,7 @@ WHOLE_ROWS = [
     "search_regime_year",
     "stratified_metrics",
     "subject_kind_breakdown",
+    "cross_medium_partners",
 ]
 
 

@@ -18,6 +18,7 @@ WHOLE_ROWS = [
     "stratified_metrics",
     "subject_kind_breakdown",
     "cross_medium_partners",
+    "best_partner_rank",
 ]
 
 

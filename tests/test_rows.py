@@ -19,6 +19,7 @@ WHOLE_ROWS = [
     "subject_kind_breakdown",
     "cross_medium_partners",
     "best_partner_rank",
+    "retrieval_metrics_exact",
 ]
 
 

@@ -20,6 +20,7 @@ WHOLE_ROWS = [
     "cross_medium_partners",
     "best_partner_rank",
     "retrieval_metrics_exact",
+    "search_regime_medium",
 ]
 
 

@@ -21,6 +21,7 @@ WHOLE_ROWS = [
     "best_partner_rank",
     "retrieval_metrics_exact",
     "search_regime_medium",
+    "search_regime_other_medium_same_subject",
 ]
 
 

@@ -23,6 +23,7 @@ WHOLE_ROWS = [
     "search_regime_medium",
     "search_regime_other_medium_same_subject",
     "bootstrap_ci",
+    "cliffs_delta",
 ]
 
 

@@ -24,6 +24,7 @@ WHOLE_ROWS = [
     "search_regime_other_medium_same_subject",
     "bootstrap_ci",
     "cliffs_delta",
+    "cohens_d",
 ]
 
 

@@ -27,6 +27,7 @@ WHOLE_ROWS = [
     "cohens_d",
     "hard_pairs",
     "late_fusion",
+    "matched_control_candidates",
 ]
 
 

@@ -28,6 +28,7 @@ WHOLE_ROWS = [
     "hard_pairs",
     "late_fusion",
     "matched_control_candidates",
+    "matched_controls",
 ]
 
 

@@ -29,6 +29,7 @@ WHOLE_ROWS = [
     "late_fusion",
     "matched_control_candidates",
     "matched_controls",
+    "max_rule",
 ]
 
 

@@ -30,6 +30,7 @@ WHOLE_ROWS = [
     "matched_control_candidates",
     "matched_controls",
     "max_rule",
+    "pair_class_composition",
 ]
 
 

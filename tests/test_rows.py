@@ -31,6 +31,7 @@ WHOLE_ROWS = [
     "matched_controls",
     "max_rule",
     "pair_class_composition",
+    "paired_auc",
 ]
 
 

@@ -32,6 +32,7 @@ WHOLE_ROWS = [
     "max_rule",
     "pair_class_composition",
     "paired_auc",
+    "permutation_test",
 ]
 
 

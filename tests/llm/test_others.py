@@ -1,6 +1,7 @@
 """Fingerprints, token files, pages, language ID, packing, toxicity and the pipeline."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -271,6 +272,13 @@ def test_language_without_labels(spark):
     assert [r["lang_pred"] for r in lang_id.identify(frame(spark, [(1, "text")]), model).collect()] == ["und"]
 
 
+def test_language_is_not_fitted_in_the_driver(spark, monkeypatch):
+    docs = frame(spark, corpus(80), "doc_id bigint, text string, lang string")
+    real, driver = lang_id.fit, os.getpid()
+    monkeypatch.setattr(lang_id, "fit", lambda sample: real(sample) if os.getpid() != driver else pytest.fail("the sample came to the driver"))
+    assert lang_id.learn(docs).languages == ["aa", "bb", "cc"]
+
+
 # Packing
 
 

@@ -6,7 +6,7 @@ its rows. Prediction folds embedding and softmax into one table, so a text costs
 
 The model is fitted on a bounded sample: `per_lang` documents or so of each language (PER_LANG), those of the least hashes of doc_id, and of many
 languages so many fewer each that they are TOTAL together; rows repeated under one doc_id count once in it. Their
-n-gram counts, not their texts, go to the driver: at most BUCKETS pairs a document. A fifth of the sample is kept out of training to fit the
+n-gram counts, not their texts, go to one task that fits: at most BUCKETS pairs a document. A fifth of the sample is kept out of training to fit the
 temperature of the softmax and the threshold of rejection: the score that all but 1 in 1000 of its rightly predicted documents reach.
 
 Defined results: null text and text without a letter give `und` with score 0.0 and are rejected; one row for each row of the input, repeated
@@ -124,14 +124,27 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     languages = max(1, known.select("lang").distinct().count())
     chosen = least_hashes(known, "lang", max(1, min(per_lang, TOTAL // languages)))  # TOTAL ids at most
     picked = known.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("lang", "text")
-    found = picked.mapInArrow(counts, "lang string, at array<int>, weight array<float>").toArrow().combine_chunks()
-    langs = found.column("lang").to_pylist()
-    cells = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (found.column("at"), found.column("weight"))]
-    # Views of two flat arrays, not lists of numbers: the driver holds a few bytes for each count.
-    at, weight = ([v[a:b] for a, b in zip(o[:-1], o[1:], strict=True)] for v, o in ((c.values.to_numpy(), c.offsets.to_numpy().tolist()) for c in cells))
-    rows = sorted(zip(langs, at, weight, strict=True), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    fitted = picked.mapInArrow(counts, "lang string, at array<int>, weight array<float>").repartition(1).mapInArrow(trained, _FITTED).collect()  # a bounded sample, and one row
+    if not fitted:
+        return fit([])
+    r = fitted[0]
+    return Model(list(r["languages"]), np.frombuffer(r["table"], np.float32).reshape(BUCKETS, -1) if r["languages"] else fit([]).table, np.frombuffer(r["bias"], np.float32), r["temperature"], r["threshold"])
+
+
+_FITTED = "languages array<string>, table binary, bias binary, temperature double, threshold double"
+
+
+def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows of counts(), as one row: fitted in a task, so that the driver holds neither sample nor embedding."""
+    rows = []
+    for batch in batches:
+        at, weight = ([v[a:b] for a, b in zip(o[:-1], o[1:], strict=True)] for v, o in ((c.values.to_numpy(), c.offsets.to_numpy().tolist()) for c in (batch.column("at"), batch.column("weight"))))
+        rows += zip(batch.column("lang").to_pylist(), at, weight, strict=True)
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     rng = np.random.default_rng(1)
-    return fit([rows[k] for k in rng.permutation(len(rows))])
+    m = fit([rows[k] for k in rng.permutation(len(rows))])
+    cells = [pa.array([m.languages], pa.list_(pa.string())), pa.array([m.table.tobytes()], pa.binary()), pa.array([m.bias.tobytes()], pa.binary()), pa.array([float(m.temperature)]), pa.array([float(m.threshold)])]
+    yield pa.RecordBatch.from_arrays(cells, ["languages", "table", "bias", "temperature", "threshold"])
 
 
 def predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from velspar.operators import agreement
 from velspar.plans import more, retrieval
@@ -37,6 +38,14 @@ def test_adjacency_svd_has_the_whole_graph(spark, sf):
     assert abs(np.abs(np.linalg.eigvalsh(x.T @ matrix @ x)).max() - top[0]) < 1e-6 * top[0]
 
 
+def test_adjacency_svd_keeps_its_pairs_out_of_the_driver(spark, sf, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    for way in ("toPandas", "toArrow"):
+        monkeypatch.setattr(DataFrame, way, lambda *_: pytest.fail("a table came to the driver"))
+    assert len(more.adjacency_svd(spark, sf).first()["vector"]) == 8
+
+
 def test_soft_set_match_has_all_items_of_a_book(spark, sf):
     own = held(sf)
     vector = {f"S{i}": np.array(v, float) / np.linalg.norm(v) for i, v in duckdb.sql(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet'").fetchall()}

@@ -117,22 +117,61 @@ def walks(spark: SparkSession, triples: DataFrame, per_node: int = 10, length: i
     return out
 
 
-def spectral(pairs: DataFrame, dimension: int, weight: str = "ppmi", rounds: int = 30, seed: int = 0) -> pd.DataFrame:
-    """Leading eigenvectors of a symmetric sparse matrix (a, b, weight) by block power iteration: the products are joins, the orthogonalisation is of `dimension` columns.
+#: Nodes in a row of a partial product.
+STRIP = 4096
 
-    The table of node vectors is joined, never broadcast; returned is the driver-side frame of nodes and coordinates for small graphs.
+
+def spectral(spark: SparkSession, pairs: DataFrame, dimension: int, weight: str = "ppmi", rounds: int = 30, seed: int = 0) -> DataFrame:
+    """(id, vector): leading eigenvectors of a symmetric sparse matrix (a, b, weight) by block power iteration.
+
+    Edges are numbered and written once as packed arrays; every round multiplies them in tasks. The driver holds 8 x `dimension` bytes a node, a few times over, to
+    make the columns orthogonal, and neither edges nor names.
     """
     import numpy as np
-
-    rows = pairs.select("a", "b", F.col(weight).alias("w")).toPandas()  # small graphs alone
-    names, index = np.unique(np.concatenate((rows["a"], rows["b"])), return_inverse=True)
-    i, j, w = index[: len(rows)], index[len(rows) :], rows["w"].to_numpy(float)
-    dimension = min(dimension, max(1, len(names) - 1))
-    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(names), dimension)))[0]
+    import pyarrow as pa
+
+    names = materialise(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "nodes")
+    n = names.count()
+    if not n:
+        return spark.createDataFrame([], "id string, vector array<double>")
+    placed = names.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(-(-n // (1 << 16))))).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
+    placed = materialise(spark, placed, "nodes")
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # one row for 65536 nodes
+    starts = spark.createDataFrame([(part, sum(c for _, c in sizes[:k])) for k, (part, _) in enumerate(sizes)], "part bigint, start bigint")
+    number = placed.join(F.broadcast(starts), "part").select("id", (F.col("start") + F.col("place")).cast("int").alias("at"))
+    edges = pairs.select("a", "b", F.col(weight).cast("double").alias("w")).join(number.select(F.col("id").alias("a"), F.col("at").alias("i")), "a").join(number.select(F.col("id").alias("b"), F.col("at").alias("j")), "b").select("i", "j", "w")
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in batch.columns], ["i", "j", "w"])
+
+    edges = materialise(spark, edges.mapInArrow(pack, "i binary, j binary, w binary"), "edges")
+
+    def product(x):
+        def multiply(frames):
+            y = np.zeros_like(x)
+            for frame in frames:
+                for r in frame.itertuples(index=False):
+                    i, own = np.frombuffer(r.i, np.int32), np.frombuffer(r.w)[:, None] * x[np.frombuffer(r.j, np.int32)]
+                    for k in range(x.shape[1]):
+                        np.add.at(y[:, k], i, own[:, k])
+            yield pd.DataFrame([(k, y[k : k + STRIP].tobytes()) for k in range(0, n, STRIP)], columns=["strip", "y"])
+
+        def total(frame):
+            return pd.DataFrame({"strip": frame["strip"].iloc[:1], "y": [sum(np.frombuffer(b) for b in frame["y"]).tobytes()]})
+
+        rows = edges.mapInPandas(multiply, "strip bigint, y binary").groupBy("strip").applyInPandas(total, "strip bigint, y binary").collect()
+        return np.concatenate([np.frombuffer(r["y"]) for r in sorted(rows, key=lambda r: r["strip"])]).reshape(x.shape)
+
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(dimension, max(1, n - 1)))))[0]
     for _ in range(rounds):
-        y = np.zeros_like(x)
-        np.add.at(y, i, w[:, None] * x[j])
-        x = np.linalg.qr(y)[0]
-    return pd.DataFrame({"id": names, "vector": list(x)})
+        x = np.linalg.qr(product(np.ascontiguousarray(x)))[0]
+
+    def named(frames):
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "vector": list(x[frame["at"].to_numpy()])})
+
+    return number.mapInPandas(named, "id string, vector array<double>")
 
 

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velspar.llm.texthash import U, mix, slices, word_hashes, words
+from velspar.llm.texthash import U, mix, slices, tidied, tidy, word_hashes, words
 from velspar.session import materialise
 
 K, HOT, BLOCK, PART, UNIT = 5, 2000, 1 << 20, 2_000_000, 1 << 26
@@ -102,6 +102,7 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
         yield tuple(map(np.concatenate, (tokens, contexts, at, ids, train)))
 
 
+@tidied
 def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, n) of tokens with a share of 1 / (2 HOT) in a block, and under token null the size of the block."""
     for token, *_ in read(batches):
@@ -110,6 +111,7 @@ def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([None, *own.view(np.int64)], pa.int64()), pa.array([len(token), *n], pa.int64())], ["token", "n"])
 
 
+@tidied
 def trained(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(token, n): counts of hot tokens in training texts; under null all their tokens, and -1 under START's place the texts."""
     for token, _, at, _, use in read(batches):
@@ -121,6 +123,7 @@ def trained(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([None, int(START.view(np.int64)), *hot.view(np.int64)], pa.int64()), pa.array([len(token), int(use.sum()), *n], pa.int64())], ["token", "n"])
 
 
+@tidied
 def deal(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Packed pairs of each block for each partition."""
     for token, context, at, ids, use in read(batches):
@@ -155,6 +158,7 @@ def among(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rank, table[rank] == values
 
 
+@tidied
 def count(part: int, blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray, parts: int) -> Iterator[tuple[str, int, bytes]]:
     """(kind, target partition, blob) of one partition's pairs: see the module."""
     # Blobs bring their own tables of tokens, contexts and documents; each pair is numbered by the partition's tables in 32 bits.
@@ -273,6 +277,7 @@ def weights(blobs: list[list[np.ndarray]], tokens: np.ndarray, n: np.ndarray, to
     return contexts, np.log10(left / rest) + np.log10(c + 1)
 
 
+@tidied
 def back_off(rows: list[tuple[str, bytes]], frequent_weights: tuple[np.ndarray, np.ndarray], total: int, d1: np.ndarray, d2: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     """Of one partition of contexts: what the pairs that back off add to their documents, (target partition, blob)."""
     found: dict[str, list[list[np.ndarray]]] = {"context": [], "token": [], "off": []}
@@ -369,7 +374,9 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return pd.DataFrame([("back", q, b) for q, b in out], columns=["kind", "target", "blob"])
 
     def finished(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(finish(list(zip(frame["kind"], frame["blob"], strict=True)), total, types, d1, d2, unknown))
+        out = finish(list(zip(frame["kind"], frame["blob"], strict=True)), total, types, d1, d2, unknown)
+        tidy()
+        return pd.DataFrame(out)
 
     back = blobs_by(tables.where("kind in ('context', 'token', 'off')"), parts, "target").applyInPandas(backed, "kind string, target int, blob binary")
     every = tables.where("kind = 'doc'").union(back)

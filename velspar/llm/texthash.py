@@ -6,7 +6,9 @@ polynomial over the ring of 64-bit integers, and shingle hashes from weighted su
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: allocators keep it, and workers of Python live on beside the next ones until Spark ends them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def tidied(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """The generator, with tidy() once it is through and its own arrays are gone."""
+
+    @functools.wraps(f)
+    def run(*args: object) -> Iterator:
+        yield from f(*args)
+        tidy()
+
+    return run
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the number of words before it (one more entry at the end)."""
     inside = np.zeros(len(data) + 2, bool)

@@ -140,6 +140,11 @@ def test_both_halves_are_scored_in_one_pass(spark, sf, name, monkeypatch):
     assert entry.queries()[name](spark, sf).count() == 1 and len(calls) == 1
 
 
+def test_cliffs_delta_runs_the_scoring_once(spark, sf):
+    plan = entry.queries()["cliffs_delta"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow each(") == 1  # not once for each side of a union
+
+
 def test_fused_scores_are_ranked_beside_the_cosines(spark, sf, monkeypatch):
     monkeypatch.setattr(ranking, "ranked", lambda *_: pytest.fail("chosen pairs are shuffled to be ranked"))
     assert entry.queries()["max_rule"](spark, sf).where("rank = 10").count() == 500

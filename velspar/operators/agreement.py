@@ -86,8 +86,9 @@ def cohens_d(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def cliffs_delta(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Mean sign over all pairs of a value of `a` and one of `b`, from cumulated counts of distinct values."""
-    values = pairs.select(F.col(a).alias("v"), F.lit(1).alias("p"), F.lit(0).alias("q")).union(pairs.select(b, F.lit(0), F.lit(1))).where("v is not null").groupBy("v").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    """Mean sign over all pairs of a value of `a` and one of `b`, from cumulated counts of distinct values; `pairs` is computed once."""
+    each = F.array(F.struct(F.col(a).alias("v"), F.lit(1).alias("p"), F.lit(0).alias("q")), F.struct(F.col(b).alias("v"), F.lit(0).alias("p"), F.lit(1).alias("q")))
+    values = pairs.select(F.explode(each).alias("r")).select("r.*").where("v is not null").groupBy("v").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     order = Window.orderBy("v")
     below = F.coalesce(F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     above = F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -193,3 +193,25 @@ def row_of_100(product):
 def test_few_admitted_candidates_are_scored_without_the_whole_row():
     row, units = row_of_100(lambda _: pytest.fail("the whole row is scored"))
     assert row.score(np.array([7, 9])).tolist() == np.round(units[[7, 9]] @ units[0], 6).tolist()
+
+
+def test_admitted_are_positions_of_what_shares_a_key():
+    row, units = row_of_100(lambda k: [units[k]])
+    assert row.admitted(True, (), ("k",)).tolist() == [9] and row.admitted(True, ("k",), ()).tolist() == [7]
+    assert row.admitted(False, (), ("k",)).tolist() == np.flatnonzero(np.arange(100) // 3 % 2).tolist()
+
+
+def test_best_partner_and_search_with_repeated_ids_and_ties(spark):
+    rng = np.random.default_rng(12)
+    data = [(k // 2, [float(x) for x in v], None if k % 9 == 0 else ["ab"[k % 2], f"c{k % 30}"], None if k % 7 == 0 else "xyz"[k % 3]) for k, v in enumerate(rng.integers(-1, 2, (90, 3)) + np.array([0, 0, 3]))]
+    unit = ranking.unit_rows([r[1] for r in data])
+    scores = np.round(unit @ unit.T, 6)
+    rank, found = [], []
+    for q in range(90):
+        others = sorted((c for c in range(90) if data[c][0] != data[q][0]), key=lambda c: (-scores[q, c], data[c][0], c))
+        ok = [c for c in others if data[q][2] and data[c][2] and set(data[q][2]) & set(data[c][2]) and data[q][3] and data[c][3] and data[q][3] != data[c][3]]
+        rank += [(data[q][0], others.index(ok[0]) + 1)] if ok else []
+        found += [(data[q][0], data[c][0], scores[q, c], k + 1) for k, c in enumerate(ok[:4])]
+    items = spark.createDataFrame(data, "id bigint, vector array<double>, keys array<string>, k string").coalesce(1)
+    assert sorted(tuple(r) for r in rows.best_partner(items, items, ("k",)).collect()) == sorted(rank) and len(rank) > 40
+    assert sorted(tuple(r) for r in rows.search(items, items, 4, True, (), ("k",)).collect()) == sorted(found)

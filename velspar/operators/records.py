@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from velspar.functions.text import split_of
 from velspar.operators.components import connected
+from velspar.operators.hamming import pairs_within
 
 
 def split_records(records: DataFrame, seed: str, group: str | None = None, item: str = "id", shares: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
@@ -35,16 +36,6 @@ def combine_groups(spark: SparkSession, records: DataFrame, keys: list[str], ite
     return records.select(F.col(item).alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group_id"))
 
 
-def band_table(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
-    """(band, chunk, id, hash): threshold + 1 bands of the bits, the first ones larger; two hashes within the threshold agree in one at least."""
-    n = threshold + 1
-    sizes = [bits // n + (k < bits % n) for k in range(n)]
-    starts = [sum(sizes[:k]) for k in range(n)]
-    chunk = lambda a, w: F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << w) - 1 if w < 63 else -1).cast("bigint"))
-    table = F.array(*[F.struct(F.lit(k).alias("band"), chunk(a, w).alias("chunk")) for k, (a, w) in enumerate(zip(starts, sizes, strict=True))])
-    return hashes.select("id", "hash", F.explode(table).alias("b")).select("b.band", "b.chunk", "id", "hash")
-
-
 def hamming(a: Column | str, b: Column | str) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     return F.bit_count(a.bitwiseXOR(b))
@@ -55,27 +46,14 @@ def near_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
 
     Distinct hashes are compared once, copies only named: near_values() has the links without the pairs of copies.
     """
-    known = hashes.where("hash is not null").select("id", "hash").distinct()
-    values = known.groupBy("hash").agg(F.min("id").alias("id"))
-    found = _within(values, threshold, bits).select("h", "i", "distance")
-    every = known.select(F.col("hash").alias("h"), F.col("id").alias("x")).join(found, "h").join(known.select(F.col("hash").alias("i"), F.col("id").alias("y")), "i")
-    unlike = every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").where("a <> b")
-    equal = known.select("hash", F.col("id").alias("a")).join(known.select("hash", F.col("id").alias("b")), "hash").where("a < b").select("a", "b", F.lit(0).alias("distance"))
-    return unlike.union(equal)
+    return pairs_within(hashes, threshold, bits)
 
 
 def near_values(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """(a, b, distance), a < b: pairs within the threshold of the least ids of distinct hashes, and each least id with its copies; as connected as near_pairs()."""
     values = hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id"))
     equal = hashes.where("hash is not null").join(values.withColumnRenamed("id", "a"), "hash").where("a <> id").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    return _within(values, threshold, bits).select("a", "b", "distance").union(equal)
-
-
-def _within(values: DataFrame, threshold: int, bits: int) -> DataFrame:
-    """(a, b, h, i, distance) of distinct hashes within the threshold, a < b. Exact by the pigeonhole principle; AQE splits skewed bands of the join."""
-    banded = band_table(values, threshold, bits)
-    left, right = banded.select("band", "chunk", F.col("id").alias("a"), F.col("hash").alias("h")), banded.select("band", "chunk", F.col("id").alias("b"), F.col("hash").alias("i"))
-    return left.join(right, ["band", "chunk"]).where((F.col("a") < F.col("b")) & (hamming("h", "i") <= threshold)).select("a", "b", "h", "i", hamming("h", "i").alias("distance")).distinct()
+    return pairs_within(values, threshold, bits, hashes.count()).union(equal)
 
 
 def near_groups(spark: SparkSession, hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from velspar.session import shuffle_partitions
 
 #: CHUNK: bits of a band, about. WHOLE: so many hashes or less, or bands that admit over SHARE of the pairs, are not dealt into buckets.
-CHUNK, WHOLE, SHARE = 11, 1 << 15, 0.5
+CHUNK, WHOLE, SHARE = 13, 1 << 15, 0.5
 #: A task for each ROWS hashes, up to a bound; SLICE: hashes of a bucket that are compared in one unit of work; COPIES: ids of one hash that go by one entry.
 ROWS, SLICE, COPIES = 4096, 64, 64
 #: Comparisons and pairs that are held at a time.
